@@ -86,8 +86,8 @@ class SubwordSoftmax:
             return self
         bucket, owner = subwords(list(index))
         count = np.bincount(owner, minlength=len(index)).astype(np.float32)
-        order = np.argsort(owner, kind="stable")
-        bucket, at = bucket[order], np.r_[0, np.cumsum(count.astype(np.int64))]
+        bucket, at = bucket[np.argsort(owner, kind="stable")].astype(np.int32), np.r_[0, np.cumsum(count.astype(np.int64))]
+        del owner
         ids = [np.array([index[w] for w in t], np.int64) for t in texts]
         share = np.bincount(y, minlength=2)
         cost = (len(y) / (2 * np.maximum(share, 1)))[y]
@@ -95,8 +95,7 @@ class SubwordSoftmax:
         rng = np.random.default_rng(SEED + 1)
         some = lambda x: x if len(x) <= FIRST_BAG else rng.choice(x, FIRST_BAG, replace=False)
         for turn in range(passes):
-            vec = np.add.reduceat(self.e[bucket], at[:-1], axis=0) / count[:, None]
-            one = vec @ (self.w[:, 1] - self.w[:, 0])
+            one = np.add.reduceat(self.table()[0][bucket], at[:-1]) / count
             picks = []
             for k, t in enumerate(ids):
                 if not len(t):

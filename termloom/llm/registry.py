@@ -11,10 +11,12 @@ from termloom.llm.quality_ordinal import op7_quality_classifier
 from termloom.llm.quality_rules import OP9_SQL, op9_quality_rules
 from termloom.llm.simhash import op8_simhash_dedup
 from termloom.llm.toxicity import op10_toxicity
+from termloom.llm.vector_graph import op3_vector_dedup
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_vector_dedup": op3_vector_dedup,
     "op4_hmm_lm": op4_hmm_lm,
     "op5_mix_sources": op5_mix_sources,
     "op6_license_scan": op6_license_scan,

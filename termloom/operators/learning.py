@@ -32,14 +32,15 @@ def mutual_information(presence: DataFrame, labels: DataFrame) -> DataFrame:
     ``presence (sample_id, gram)`` distinct, ``labels (sample_id, label)``. From the counts of the feature, the class
     and both, so rows are read once and no contingency table is spread out.
     """
-    n = labels.count()
-    if labels.select("label").distinct().count() > 1000:
-        raise ValueError("more than 1000 classes")  # bounds the rows a feature gets, and what is broadcast
-    by_label = labels.groupBy("label").agg(F.count("*").alias("nl"))
+    sizes = labels.groupBy("label").agg(F.count("*").alias("nl")).limit(1001).collect()
+    if len(sizes) > 1000:
+        raise ValueError("more than 1000 classes")  # each feature gets a row for each class
+    n = sum(r["nl"] for r in sizes)
+    classes = F.array(*[F.struct(F.lit(r["label"]).alias("label"), F.lit(r["nl"]).alias("nl")) for r in sizes])
     met = presence.join(labels, "sample_id")
     both = met.groupBy("gram", "label").agg(F.count("*").alias("nb"))
     by_gram = both.groupBy("gram").agg(F.sum("nb").alias("ng"))
-    grid = by_gram.join(F.broadcast(by_label), on=F.lit(True)).join(both, ["gram", "label"], "left").fillna(0, ["nb"])  # a row a feature and class
+    grid = by_gram.select("gram", "ng", F.inline(classes)).join(both, ["gram", "label"], "left").fillna(0, ["nb"]) if sizes else by_gram.withColumns({"label": F.lit(""), "nl": F.lit(0), "nb": F.lit(0)})
     cell = lambda x, r, c: f"case when {x} > 0 then {x} / {n}D * ln({x} * {n}D / ({r} * {c})) else 0D end"
     mi = " + ".join((cell("nb", "ng", "nl"), cell("(ng - nb)", "ng", f"({n} - nl)"), cell("(nl - nb)", f"({n} - ng)", "nl"), cell(f"({n} - ng - nl + nb)", f"({n} - ng)", f"({n} - nl)")))
     return grid.select("gram", "label", F.expr(mi).alias("mi"))

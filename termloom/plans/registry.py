@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from termloom.plans.queries import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "exact_match_bigrams"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

@@ -14,7 +14,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from termloom.llm.common import narrow, table
 
@@ -130,7 +130,7 @@ def encode_documents(docs: DataFrame, tokens: list[bytes], pattern: str, id_col:
 
 def decode_documents(encoded: DataFrame, tokens: list[bytes], ids_col: str = "token_ids") -> DataFrame:
     """``encoded`` with ``decoded`` (binary) added; a null id list decodes to null."""
-    schema = f"{encoded.schema.simpleString()[7:-1]},decoded:binary"
+    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

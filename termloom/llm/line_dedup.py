@@ -89,18 +89,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with ``text_col`` reduced to the kept lines, plus ``_n_lines`` and ``_n_dropped`` (long).
 
     Every row stays, with an empty text if it keeps no line. Nulls, empty texts and repeated rows: see
-    :func:`line_drops`. Other columns pass through, whatever their names, save those that begin with ``_n_``.
+    :func:`line_drops`. Other columns pass through, whatever their names, save those two.
     """
     drops = line_drops(docs, id_col, text_col, min_chars, min_docs).hint("shuffle_hash")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    left = docs.withColumns({"_n_text": text}).withColumns({"_n_hash": F.xxhash64("_n_text")})
-    hit = left.join(drops, F.col(f"`{id_col}`").eqNullSafe(drops["_id"]) & (left["_n_hash"] == drops["_th"]), "left")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]  # held in one column, where no name can clash
+    left = docs.select(F.struct(*others, F.lit(0).alias("_")).alias("_row"), F.col(f"`{id_col}`").alias("_key"), text.alias("_n_text")).withColumn("_n_hash", F.xxhash64("_n_text"))
+    hit = left.join(drops, F.col("_key").eqNullSafe(drops["_id"]) & (left["_n_hash"] == drops["_th"]), "left")
     lines = F.split("_n_text", "\n", -1)
     kept = F.expr(
         "array_join(filter(split(_n_text, '\\n', -1), (x, i) -> coalesce(shiftright(get(words, int(i div 64)), i % 64) & 1L, 0L) = 0L), '\\n')"
     )
     new_text = F.when(F.col("words").isNull(), F.col("_n_text")).otherwise(kept)
-    cols = [(new_text.alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns]
+    cols = [(new_text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c)) for c in docs.columns]
     return hit.select(
         *cols,
         F.size(lines).cast("long").alias("_n_lines"),

@@ -123,8 +123,9 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     times = mix(docs, **options).groupBy("_id").agg(F.count("*").cast("int").alias("_times"))
     copies = narrow(docs, _cid=id_col).groupBy("_cid").agg(F.count("*").cast("int").alias("_copies"))
     per = times.join(copies, F.col("_id").eqNullSafe(F.col("_cid"))).select("_id", F.expr("_times div _copies").cast("int").alias("_each"))
-    met = docs.join(per.hint("shuffle_hash"), F.col(f"`{id_col}`").eqNullSafe(F.col("_id")))
-    return met.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_key"))  # where no name can clash
+    met = own.join(per.hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("_id")))
+    return met.select("_row", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from termloom.llm.common import fold, narrow, table
 
@@ -211,7 +211,7 @@ def score(docs: DataFrame, model: SubwordSoftmax, id_col: str = "doc_id", text_c
                 s = score_texts([t.as_py() for t in part.column(at)], table_, b)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], [*part.schema.names, "_score"])
 
-    return docs.mapInArrow(run, f"{docs.schema.simpleString()[7:-1]},_score:double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,13 +217,16 @@ def vector_components(vectors: DataFrame, threshold: float = 0.95, id_col: str =
     if member is None:
         return units.select(F.col("_id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.col("_id").isNotNull().alias("kept")), {"true": 0, "found": 0}
 
-    part_of = lambda parts: F.pmod(F.xxhash64(F.lit(9), "node"), parts).cast("int")
+    part_of = lambda parts, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), parts).cast("int")
 
     def parted(rows: DataFrame) -> DataFrame:
         sizes = rows.groupBy("shard").agg(F.count("*").alias("size"))  # a row a cluster
         return rows.join(F.broadcast(sizes), "shard").withColumn("parts", F.ceil(F.col("size") / MAX_SHARD))
 
-    build = parted(member.select("node", "v", F.explode(F.slice("near", 1, BUILD)).alias("shard"))).withColumn("part", part_of(F.col("parts")))
+    build = parted(member.select("node", "v", F.explode(F.slice("near", 1, BUILD)).alias("shard")))
+    # a shard in parts is dealt three times, each time otherwise, so that edges lead from every part to every other
+    turns = F.when(F.col("parts") > 1, F.array(*[F.struct(F.lit(t).alias("t"), part_of(F.col("parts"), 20 + t).alias("p")) for t in range(3)]))
+    build = build.withColumn("part", F.explode(F.coalesce(turns, F.array(F.struct(F.lit(0).alias("t"), F.lit(0).alias("p"))))))
 
     def edges(pdf: pd.DataFrame) -> pd.DataFrame:
         kept, sims = pruned_neighbours(_matrix(pdf["v"].tolist()))
@@ -236,7 +239,7 @@ def vector_components(vectors: DataFrame, threshold: float = 0.95, id_col: str =
     lists = found.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "b")), asc=False), 1, DEGREE)["b"].alias("to"))
     graph = staged(member.join(lists, F.col("node") == F.col("a"), "left").select("node", "m", "v", "near", "to"), "vec-graph")
 
-    asks = parted(graph.select("node", "m", "v", "to", F.posexplode("near").alias("at", "shard"))).withColumn("own", part_of(F.col("parts")))
+    asks = parted(graph.select("node", "m", "v", "to", F.posexplode("near").alias("at", "shard"))).withColumn("own", part_of(F.col("parts"), 9))
     dealt = asks.select(
         "shard", "node", "m", "v", "to", (F.col("at") == 0).alias("home"), "own",
         F.explode(F.expr("array_distinct(flatten(transform(sequence(0, int(parts - 1)), k -> array(struct(own as i, k as j), struct(k as i, own as j)))))")).alias("ij"),

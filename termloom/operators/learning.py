@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from termloom.functions import text as T
+from termloom.functions.shared import staged
 
 
 def classifier_grams(df: DataFrame, sample_id: str, col: str) -> DataFrame:
@@ -38,7 +39,7 @@ def mutual_information(presence: DataFrame, labels: DataFrame) -> DataFrame:
     n = sum(r["nl"] for r in sizes)
     classes = F.array(*[F.struct(F.lit(r["label"]).alias("label"), F.lit(r["nl"]).alias("nl")) for r in sizes])
     met = presence.join(labels, "sample_id")
-    both = met.groupBy("gram", "label").agg(F.count("*").alias("nb"))
+    both = staged(met.groupBy("gram", "label").agg(F.count("*").alias("nb")), "feature-counts")
     by_gram = both.groupBy("gram").agg(F.sum("nb").alias("ng"))
     grid = by_gram.select("gram", "ng", F.inline(classes)).join(both, ["gram", "label"], "left").fillna(0, ["nb"]) if sizes else by_gram.withColumns({"label": F.lit(""), "nl": F.lit(0), "nb": F.lit(0)})
     cell = lambda x, r, c: f"case when {x} > 0 then {x} / {n}D * ln({x} * {n}D / ({r} * {c})) else 0D end"

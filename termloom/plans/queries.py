@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from termloom.functions import text as T
+from termloom.functions.shared import staged
 from termloom.operators import graph as G, learning as L, matching as M, relational as R, rules as U, tokens as K
 
 QUERIES: dict = {}
@@ -451,8 +452,8 @@ mi AS (SELECT ng.gram, nl.label,
 
 
 def _mi(spark, d):
-    grams = _grams(spark, d)
-    presence = grams.distinct().join(L.vocabulary(grams).select("gram"), "gram", "left_semi")
+    presence = staged(_grams(spark, d).distinct(), "presence")
+    presence = presence.join(presence.groupBy("gram").count().where("count > 2").select("gram"), "gram", "left_semi")
     return L.mutual_information(presence, t(spark, d, "labels").select(F.col("doc_id").alias("sample_id"), (F.col("quality") * 2 + F.col("toxic")).cast("string").alias("label")))
 
 

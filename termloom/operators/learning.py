@@ -5,12 +5,29 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from termloom.functions import text as T
 from termloom.functions.shared import staged
 
 
+#: The classes' names as shown.
+CLASS_NAMES = {
+    "cell_line": "cell line",
+    "stem_cells": "stem cells",
+    "in_vitro_differentiated_cells": "in vitro differentiated cells",
+    "primary_cells": "primary cells",
+    "induced_pluripotent_stem_cells": "induced pluripotent stem cell line",
+    "tissue": "tissue",
+}
+
+
+def class_name(c: Column) -> Column:
+    """The shown name of a class; null stays null, an unknown class is an error."""
+    names = F.create_map(*[F.lit(x) for kv in CLASS_NAMES.items() for x in kv])
+    return F.when(c.isNull(), None).otherwise(F.coalesce(F.try_element_at(names, c), F.raise_error(F.concat(F.lit("unknown class "), c))))
+
+
 def classifier_grams(df: DataFrame, sample_id: str, col: str) -> DataFrame:
     """``(sample_id, gram)``: a row for each occurrence of a 1- or 2-gram in lower case, longer than one character.
 

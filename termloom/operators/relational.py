@@ -87,6 +87,29 @@ def resolve_term(names: DataFrame, asked: str, spaces: tuple = ("DOID", "UBERON"
     return found or ([asked] if prefix in spaces and digits.isdigit() else [])
 
 
+def resolve_terms(names: DataFrame, asked: DataFrame, spaces: tuple = ("DOID", "UBERON", "CVCL", "CL", "EFO")) -> DataFrame:
+    """:func:`resolve_term` for a table ``asked (asked)``: ``(asked, term_id)``, no row for a text that is neither."""
+    a = asked.select("asked").distinct()
+    met = a.join(names.select(F.col("term_name").alias("asked"), "term_id").distinct(), "asked", "left")
+    is_id = F.col("asked").rlike("^(" + "|".join(spaces) + "):[0-9]+$")
+    return met.withColumn("term_id", F.coalesce("term_id", F.when(is_id, F.col("asked")))).where("term_id is not null")
+
+
+def override_links(*maps: DataFrame) -> DataFrame:
+    """``(term_id, linked_id)``: of the maps that know a term, the last one's whole list. One shuffle, on the term."""
+    ranked = [m.select("term_id", "linked_id", F.lit(i).alias("_rank")) for i, m in enumerate(maps)]
+    every = ranked[0]
+    for m in ranked[1:]:
+        every = every.unionByName(m)
+    last = F.max("_rank").over(Window.partitionBy("term_id"))
+    return every.withColumn("_last", last).where("_rank = _last").select("term_id", "linked_id").distinct()
+
+
+def first_per_group(df: DataFrame, group: str, item: str, skip: Column) -> DataFrame:
+    """The least ``item`` of each ``group`` among rows where ``skip`` isn't true."""
+    return df.where(~F.coalesce(skip, F.lit(False))).groupBy(group).agg(F.min(item).alias(item))
+
+
 def linked_terms(a_names: DataFrame, b_names: DataFrame, kinds: tuple = ("TERM_NAME", "EXACT")) -> DataFrame:
     """``(b_id, a_id)``: terms of b linked to terms of a by an equal name or synonym of ``kinds``; columns ``(s, term_id, target)``."""
     a = a_names.where(F.col("target").isin(*kinds)).select("s", F.col("term_id").alias("a_id"))
@@ -123,5 +146,13 @@ def enrich_synonyms(names: DataFrame, sets: DataFrame) -> DataFrame:
     return new.join(names.select("term_id", "s"), ["term_id", "s"], "left_anti").withColumn("target", F.lit("ENRICHED"))
 
 
+def keyword_terms(names: DataFrame, keywords: list[str]) -> DataFrame:
+    """``(term_id)`` of the terms with one of the keywords in a name or synonym ``s``."""
+    hit = F.lit(False)
+    for k in keywords:
+        hit = hit | F.contains("s", F.lit(k))
+    return names.where(hit).select("term_id").distinct()
+
+
 def layout(c: Column) -> Column:
     return T.library_layout(c)

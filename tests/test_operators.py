@@ -197,3 +197,21 @@ def test_best_class(spark):
     f = spark.createDataFrame([("a", True, False, 0, False, False)], "sample_id string, xenograft boolean, passaged boolean, passages int, stem boolean, ips boolean")
     got = {(r.sample_id, r.label, r.confidence) for r in L.normalized_best(L.rule_scores(s, f)).collect()}
     assert got == {("a", "tissue", 1.0), ("b", "cell_line", 0.0)}
+
+
+def test_override_resolve_and_first(spark):
+    from termloom.operators import learning, relational
+
+    a = spark.createDataFrame([("x", "1"), ("x", "2"), ("y", "3"), ("y", "3")], "term_id string, linked_id string")
+    b = spark.createDataFrame([("x", "9"), ("x", "9")], "term_id string, linked_id string")
+    assert sorted(map(tuple, relational.override_links(a, b).collect())) == [("x", "9"), ("y", "3")]
+    assert relational.override_links(a.limit(0), b.limit(0)).count() == 0
+    names = spark.createDataFrame([("liver", "UBERON:1"), ("liver", "CL:2"), ("EFO:7", "EFO:8")], "term_name string, term_id string")
+    asked = spark.createDataFrame([("liver",), ("CL:5",), ("EFO:7",), ("CL:5x",), (None,)], "asked string")
+    assert sorted(map(tuple, relational.resolve_terms(names, asked).collect())) == [("CL:5", "CL:5"), ("EFO:7", "EFO:8"), ("liver", "CL:2"), ("liver", "UBERON:1")]
+    rows = spark.createDataFrame([("s", 3, "TODO"), ("s", 4, None), ("s", 5, "ok"), ("z", 1, "TODO")], "study string, sample int, label string")
+    from pyspark.sql import functions as F
+
+    assert [tuple(r) for r in relational.first_per_group(rows, "study", "sample", F.col("label") == "TODO").collect()] == [("s", 4)]
+    shown = spark.createDataFrame([("tissue",), (None,)], "c string").select(learning.class_name(F.col("c")))
+    assert sorted(map(str, (r[0] for r in shown.collect()))) == ["None", "tissue"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import text as T
 from termloom.operators import graph as G, learning as L, relational as R, tokens as K
-from termloom.plans.annotate import with_ancestors
+from termloom.plans.annotate import Rules, Vocabulary, annotate, with_ancestors
 from termloom.plans.queries import _DICT, _SETS, _SETS_SQL, _TOK, _dictionary, _halves, _part_tokens, query, t
 from termloom.sources.readers import rows_as_json
 
@@ -154,3 +154,22 @@ def ancestor_sets(spark, d):
     mapped = t(spark, d, "part").where("p_partkey >= 1").selectExpr("p_brand as sample_id", "p_partkey as term_id")
     out = with_ancestors(mapped, _halves(spark, d))
     return out.select("sample_id", F.array_join(F.array_sort(F.expr("transform(terms, x -> string(x))")), ",").alias("terms"))
+
+
+# ---- the whole plan ----
+@query("""WITH w AS (SELECT unnest(string_split(p_name, ' ')) AS w FROM part),
+r AS (SELECT p_partkey AS sample_id, 'PN:' || replace(p_name, ' ', '_') AS term_id, 'note' AS orig_key, 'stock of ' || p_name AS orig_value FROM part
+UNION SELECT p_partkey, 'PT:' || split_part(p_name, ' ', 2), 'note', 'stock of ' || p_name FROM part
+UNION SELECT p_partkey, 'PT:' || lower(p_type), 'p_type', p_type FROM part WHERE lower(p_type) IN (SELECT w FROM w))
+SELECT sample_id, term_id, false AS consequent, orig_key, orig_value FROM r""")
+def annotate_plan(spark, d):
+    """All stages over a note with the part's name and its type; brands are blocked.
+
+    The name is matched inside the note, its second word stays as an ancestor of the name's term, the first word and the
+    synonyms by word give way to the name's interval, near names to equal ones.
+    """
+    p = t(spark, d, "part").withColumn("note", F.concat(F.lit("stock of "), "p_name"))
+    names = _dictionary(spark, d)
+    edges = names.where("term_id like 'PN:%'").select(F.col("term_id").alias("child"), F.concat(F.lit("PT:"), F.split("s", " ")[1]).alias("parent")).distinct()
+    mapped, _ = annotate(spark, K.kv_pairs(p, "p_partkey", ["note", "p_type", "p_brand"]), Vocabulary(names, edges), Rules(filter_keys=["p_brand"]))
+    return mapped.select("sample_id", "term_id", "consequent", "orig_key", "orig_value")

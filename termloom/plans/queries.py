@@ -467,22 +467,33 @@ def top_features_per_class(spark, d):
     return L.top_features(_mi(spark, d).withColumn("mi", F.round("mi", 9))).select("label", "gram", "rank")
 
 
-_CLASSES = ("cell_line", "induced_pluripotent_stem_cells", "primary_cells", "stem_cells", "tissue")
-
-
-@query("""
-WITH s AS (SELECT doc_id AS sample_id, c AS label, ((doc_id * 7 + i * 13) % 10)::DOUBLE AS confidence, quality = 0 AS xenograft, toxic = 1 AS passaged, (doc_id % 3)::INTEGER AS passages, doc_id % 5 = 0 AS stem, doc_id % 7 = 0 AS ips
-  FROM labels, (VALUES """ + ", ".join(f"('{c}', {i})" for i, c in enumerate(_CLASSES)) + """) v(c, i)),
-r AS (SELECT sample_id, label, CASE WHEN xenograft THEN CASE WHEN label = 'tissue' THEN confidence ELSE 0 END WHEN passaged AND label = 'tissue' THEN 0 WHEN passages > 0 AND label = 'primary_cells' THEN 0
-  WHEN ips AND label <> 'induced_pluripotent_stem_cells' THEN 0 WHEN stem AND label NOT IN ('stem_cells', 'induced_pluripotent_stem_cells') THEN 0 ELSE confidence END AS confidence FROM s),
+_KINDS = list(L.KIND_CLASSES)
+_ALLOWED_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in L.KIND_CLASSES.items()) + " END"
+
+
+@query(f"""
+WITH s AS (SELECT doc_id AS sample_id, c AS label, ((doc_id * 7 + i * 13) % 10)::DOUBLE AS confidence
+  FROM labels, (VALUES {', '.join(f"('{c}', {i})" for i, c in enumerate(L.CLASS_NAMES))}) v(c, i)),
+f AS (SELECT doc_id AS sample_id, doc_id % 11 = 0 AS xenograft, doc_id % 5 = 0 AS stem, doc_id % 3 = 0 AS specific, doc_id % 7 = 0 AS prim, toxic = 1 OR doc_id % 4 = 0 AS passaged, (toxic = 1 OR doc_id % 4 = 0) AND doc_id % 8 <> 0 AS divided,
+  CASE WHEN doc_id % 6 = 0 THEN {_KINDS}[(doc_id % 9 + 1)::INTEGER] END AS kind FROM labels),
+x AS (SELECT s.*, f.* EXCLUDE (sample_id), {_ALLOWED_SQL} AS allowed FROM s JOIN f USING (sample_id)),
+r AS (SELECT sample_id, label, CASE WHEN xenograft THEN CASE WHEN label = 'tissue' THEN confidence ELSE 0 END
+  WHEN passaged AND label = 'tissue' THEN 0 WHEN divided AND label = 'primary_cells' THEN 0
+  WHEN kind IS NOT NULL THEN CASE WHEN list_contains(allowed, label) THEN confidence ELSE 0 END
+  WHEN stem AND label IN ('cell_line', 'tissue', 'primary_cells') THEN 0 WHEN NOT stem AND specific AND label = 'tissue' THEN 0
+  WHEN prim AND NOT passaged AND label NOT IN ('primary_cells', 'stem_cells') THEN 0 ELSE confidence END AS confidence FROM x),
 n AS (SELECT sample_id, label, CASE WHEN sum(confidence) OVER (PARTITION BY sample_id) > 0 THEN confidence / sum(confidence) OVER (PARTITION BY sample_id) ELSE 0.0 END AS confidence FROM r)
 SELECT sample_id, label, round(confidence, 9) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY confidence DESC, label) AS r FROM n) WHERE r = 1""")
 def class_rules_argmax(spark, d):
-    lab = t(spark, d, "labels")
-    classes = F.array(*[F.struct(F.lit(c).alias("label"), F.lit(i).alias("i")) for i, c in enumerate(_CLASSES)])
-    scores = lab.select(F.col("doc_id").alias("sample_id"), F.inline(classes)).select("sample_id", "label", ((F.col("sample_id") * 7 + F.col("i") * 13) % 10).cast("double").alias("confidence"))
-    facts = lab.selectExpr("doc_id as sample_id", "quality = 0 as xenograft", "toxic = 1 as passaged", "int(doc_id % 3) as passages", "doc_id % 5 = 0 as stem", "doc_id % 7 = 0 as ips")
-    return L.normalized_best(L.rule_scores(scores, facts)).select("sample_id", "label", F.round("confidence", 9).alias("confidence"))
+    lab = t(spark, d, "labels").withColumnRenamed("doc_id", "sample_id")
+    classes = F.array(*[F.struct(F.lit(c).alias("label"), F.lit(i).alias("i")) for i, c in enumerate(L.CLASS_NAMES)])
+    scores = lab.select("sample_id", F.inline(classes)).select("sample_id", "label", ((F.col("sample_id") * 7 + F.col("i") * 13) % 10).cast("double").alias("confidence"))
+    given = [(11, L.XENOGRAFT), (5, L.STEM_CELL), (3, L.SPECIFIC_CELL), (7, L.PRIMARY_CELL)]
+    ids = F.array(*[F.when(F.col("sample_id") % k == 0, term) for k, term in given], F.when(F.col("sample_id") % 6 == 0, F.concat(F.lit("CVCL:"), (F.col("sample_id") % 9).cast("string"))))
+    terms = lab.select("sample_id", F.explode(ids).alias("term_id")).where("term_id is not null")
+    values = lab.where("toxic = 1 or sample_id % 4 = 0").select("sample_id", F.lit(L.PASSAGE).alias("property_id"), F.when(F.col("sample_id") % 8 == 0, 0.0).otherwise(2.0).alias("value"), F.lit(L.PASSAGE_UNIT).alias("unit_id"))
+    kinds = spark.createDataFrame([(f"CVCL:{i}", k) for i, k in enumerate(_KINDS)], "term_id string, subset string")
+    return L.normalized_best(L.rule_scores(scores, L.rule_facts(terms, values, kinds))).select("sample_id", "label", F.round("confidence", 9).alias("confidence"))
 
 
 @query()

@@ -1,7 +1,8 @@
 """Token generators over ``token (sample_id, tok, start, end, kv_key, kv_value, side)``.
 
 Tokens carry the key-value pair and side that they stem from, so what is downstream of a pair is a filter. Intervals
-are in characters, half open, within the pair's own run of offsets.
+are in characters, half open, within the pair's own run of offsets. A further column ``path`` goes with each token to
+what is made of it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from termloom.functions import text as T
 LINEAGE = ("sample_id", "kv_key", "kv_value", "side")
 
 
+def _carried(tokens: DataFrame) -> list[str]:
+    return [c for c in tokens.columns if c == "path"]
+
+
 def kv_pairs(df: DataFrame, sample_id: str, columns: list[str]) -> DataFrame:
     """Named columns of wide rows as ``kv (sample_id, kv_key, kv_value)``; nulls are left out."""
     return df.select(F.col(sample_id).alias("sample_id"), F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("string"))])).alias("kv_key", "kv_value")).where("kv_value is not null")
@@ -44,7 +49,7 @@ def ngrams(tokens: DataFrame, most: int = 8) -> DataFrame:
         f"flatten(transform(sequence(1, least({most}, size(_w)) - 1), n -> transform(sequence(1, size(_w) - n + 1), i -> struct("
         "array_join(slice(_w, i, n), ' ') as gram, start + _e[i - 1] - length(_w[i - 1]) as s, start + _e[i + n - 2] as e))))"
     )
-    return t.select(*LINEAGE, F.inline(runs)).select("sample_id", F.col("gram").alias("tok"), F.col("s").alias("start"), F.col("e").alias("end"), "kv_key", "kv_value", "side").distinct()
+    return t.select(*LINEAGE, *_carried(tokens), F.inline(runs)).select("sample_id", F.col("gram").alias("tok"), F.col("s").alias("start"), F.col("e").alias("end"), "kv_key", "kv_value", "side", *_carried(tokens)).distinct()
 
 
 def lowercase(tokens: DataFrame) -> DataFrame:
@@ -56,7 +61,8 @@ def delimit(tokens: DataFrame, delimiter: str) -> DataFrame:
     quoted = delimiter.replace("\\", "\\\\")
     t = tokens.where(F.contains("tok", F.lit(delimiter))).withColumn("_p", F.split("tok", f"\\Q{quoted}\\E", -1))
     pieces = F.expr(f"transform(_p, (p, i) -> struct(p as piece, int(start + aggregate(slice(_p, 1, i), 0, (a, x) -> a + length(x) + {len(delimiter)})) as s))")
-    return t.select(*LINEAGE, F.inline(pieces)).select("sample_id", F.col("piece").alias("tok"), F.col("s").alias("start"), (F.col("s") + F.length("piece")).cast("int").alias("end"), "kv_key", "kv_value", "side").distinct()
+    out = t.select(*LINEAGE, *_carried(tokens), F.inline(pieces)).withColumns({"tok": F.col("piece"), "start": F.col("s"), "end": (F.col("s") + F.length("piece")).cast("int")})
+    return out.select("sample_id", "tok", "start", "end", "kv_key", "kv_value", "side", *_carried(tokens)).distinct()
 
 
 def expand_sets(tokens: DataFrame, sets: DataFrame) -> DataFrame:

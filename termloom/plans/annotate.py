@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from termloom.functions import text as T
 from termloom.functions.shared import staged
@@ -29,6 +29,7 @@ CONSEQUENTS = {
     "EFO:0000322": ["EFO_BTO:0000214", "CL:0000010"], "EFO:0007061": ["EFO_BTO:0000214", "CL:0000010"], "EFO:0000616": ["DOID:14566"],
 }
 TWO_CHARACTERS = {"H9": ["CVCL:9773", "EFO:0003045"], "H7": ["CVCL:9772", "EFO:0005904"]}
+AGE, YEAR, ADULT, CULTURED = "EFO:0000246", "UO:0000036", ("EFO:0001272", "UBERON:0007023"), ("CL:0000010", "EFO_BTO:0000214")
 CELL_LINE_KEYS = ("EFO:0000322", "EFO:0000324")
 TIME_KEYS = ("EFO:0000721", "EFO:0000724")
 
@@ -63,41 +64,40 @@ class Vocabulary:
 
 @dataclass
 class State:
+    """Tables between stages. ``path`` is an array of (step, node): from the pair's side through tokens to the term."""
+
     spark: SparkSession
     kv: DataFrame
     vocabulary: Vocabulary
     rules: Rules
-    tokens: DataFrame | None = None
-    matches: DataFrame | None = None  # PAIR, side, tok, start, end, term_id, label, edit_dist, hops
-    implied: DataFrame | None = None  # sample_id, term_id, hops
-    values: DataFrame | None = None  # PAIR, property_id, value, unit_id
+    tokens: DataFrame | None = None  # PAIR, side, tok, start, end, path
+    matches: DataFrame | None = None  # PAIR, side, tok, start, end, path, term_id, label, edit_dist
+    seen: DataFrame | None = None  # matches before any gave way: what inference starts from
+    implied: DataFrame | None = None  # PAIR, side, root (the match that it follows from), path, term_id, consequent
+    values: DataFrame | None = None  # PAIR, root, property_id, value, unit_id, consequent
     ancestors: DataFrame | None = None
 
 
-Stage = Callable[[State], State]
-
-
 def _rows(spark, pairs: dict[str, list[str]], schema: str) -> DataFrame:
     return spark.createDataFrame([(k, v) for k, vs in pairs.items() for v in vs], schema)
 
 
-def _grow(s: State, new: DataFrame) -> State:
-    """Tokens with those of a generator, one hop further; the fewest hops of a token stay."""
-    return replace(s, tokens=s.tokens.unionByName(new.withColumn("hops", F.col("hops") + 1)))
+def _step(name: str | Column, node: str) -> Column:
+    """``path`` with one more step."""
+    here = F.struct((F.lit(name) if isinstance(name, str) else name).alias("step"), F.col(node).alias("node"))
+    return F.concat("path", F.array(here))
 
 
 def _once(tokens: DataFrame) -> DataFrame:
-    keys = [c for c in tokens.columns if c != "hops"]
-    return tokens.groupBy(*keys).agg(F.min("hops").alias("hops"))
+    """One row a token, with its shortest path; ties by the path itself."""
+    best = F.min(F.struct(F.size("path").alias("hops"), "path")).alias("_b")
+    keys = [c for c in tokens.columns if c != "path"]
+    return tokens.groupBy(*keys).agg(best).select(*keys, "_b.path")
 
 
-def _generator(f: Callable[[State, DataFrame], DataFrame]) -> Stage:
-    def run(s: State) -> State:
-        plain = s.tokens.drop("hops").distinct()
-        lineage = s.tokens.groupBy("sample_id", "kv_key", "kv_value", "side").agg(F.max("hops").alias("hops"))
-        return _grow(s, f(s, plain).join(lineage, ["sample_id", "kv_key", "kv_value", "side"]))
-
-    return run
+def _grow(s: State, name: str, new: DataFrame) -> State:
+    """Tokens with those of a generator, which carry the path of the token they are made of."""
+    return replace(s, tokens=s.tokens.unionByName(new.withColumn("path", _step(name, "tok"))))
 
 
 def filter_pairs(s: State) -> State:
@@ -105,29 +105,33 @@ def filter_pairs(s: State) -> State:
 
 
 def start_tokens(s: State) -> State:
-    return replace(s, tokens=K.init_tokens(s.kv.distinct()).withColumn("hops", F.lit(1)))
+    first = F.array(F.struct(F.col("side").alias("step"), F.col("tok").alias("node")))
+    return replace(s, tokens=K.init_tokens(s.kv.distinct()).withColumn("path", first))
 
 
 def spread_tokens(s: State) -> State:
     """N-grams, lower case, delimiters, variants, synonyms and acronyms, each over all tokens so far; written once."""
     r = s.rules
-    steps: list = [lambda s, t: K.ngrams(t), lambda s, t: K.lowercase(t)]
-    steps += [lambda s, t, x=x: K.delimit(t, x) for x in r.delimiters]
+    steps: list = [("n-gram", lambda t: K.ngrams(t)), ("lower case", lambda t: K.lowercase(t))]
+    steps += [("delimiter " + x, lambda t, x=x: K.delimit(t, x)) for x in r.delimiters]
     if r.lexicon:
-        steps += [lambda s, t: K.lexicon_variants(t, *r.lexicon, ["inflection"]), lambda s, t: K.lexicon_variants(t, *r.lexicon, ["spelling"])]
+        steps += [(kind, lambda t, kind=kind: K.lexicon_variants(t, *r.lexicon, [kind])) for kind in ("inflection", "spelling")]
     if r.synonym_sets is not None:
-        steps.append(lambda s, t: K.expand_sets(t, r.synonym_sets))
+        steps.append(("synonym", lambda t: K.expand_sets(t, r.synonym_sets)))
     if r.acronyms:
-        steps.append(lambda s, t: K.expand_map(t, _rows(s.spark, r.acronyms, "from_str string, to_str string")))
-    for f in steps:
-        s = _generator(f)(s)
+        steps.append(("acronym", lambda t: K.expand_map(t, _rows(s.spark, r.acronyms, "from_str string, to_str string"))))
+    for name, f in steps:
+        s = _grow(s, name, f(s.tokens))
         s = replace(s, tokens=staged(_once(s.tokens), "tokens"))
     return s
 
 
 def match_exactly(s: State) -> State:
-    hits = s.tokens.join(M.exact_match(s.tokens, s.vocabulary.dictionary), "tok").withColumn("edit_dist", F.lit(0))
-    return replace(s, matches=hits)
+    return replace(s, matches=_matched(s.tokens.join(M.exact_match(s.tokens, s.vocabulary.dictionary), "tok").withColumn("edit_dist", F.lit(0))))
+
+
+def _matched(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("path", _step(F.col("label"), "term_id"))
 
 
 def _key_terms(s: State) -> DataFrame:
@@ -137,23 +141,23 @@ def _key_terms(s: State) -> DataFrame:
 def more_tokens(s: State) -> State:
     """Times with units for pairs with a time key, and synonyms of the key's property."""
     timed = _key_terms(s).where(F.col("term_id").isin(*TIME_KEYS)).select(*PAIR).distinct()
-    new = K.time_tokens(s.tokens.where("side = 'val'").join(timed, PAIR, "left_semi"))
+    grown = _grow(s, "time and unit", K.time_tokens(s.tokens.where("side = 'val'").join(timed, PAIR, "left_semi")))
     if s.rules.property_sets is not None:
-        new = new.unionByName(K.property_synonyms(s.tokens, _key_terms(s), s.rules.property_sets))
-    return replace(s, tokens=staged(_once(_grow(s, new).tokens), "tokens"))
+        grown = _grow(grown, "synonym of the property", K.property_synonyms(s.tokens, _key_terms(s), s.rules.property_sets))
+    return replace(s, tokens=staged(_once(grown.tokens), "tokens"))
 
 
 def match_two_characters(s: State) -> State:
     two = _rows(s.spark, s.rules.two_characters, "s string, term_id string")
     new = s.tokens.join(two, s.tokens["tok"] == two["s"]).drop("s").withColumns({"label": F.lit("CUSTOM_TWO_CHAR_MATCH"), "edit_dist": F.lit(0)})
-    return replace(s, matches=s.matches.unionByName(new))
+    return replace(s, matches=s.matches.unionByName(_matched(new)))
 
 
 def match_nearly(s: State) -> State:
     d = s.vocabulary.fuzzy if s.vocabulary.fuzzy is not None else s.vocabulary.dictionary
     label = F.when(F.col("target") == "TERM_NAME", "TERM_NAME").otherwise(F.concat(F.lit("SYNONYM_"), "target"))
     hits = M.fuzzy_match(s.tokens, d).join(d, "s").select("tok", "term_id", label.alias("label"), "edit_dist").distinct()
-    new = s.tokens.join(hits, "tok")
+    new = _matched(s.tokens.join(hits, "tok"))
     return replace(s, matches=staged(s.matches.unionByName(new).distinct(), "matches"))
 
 
@@ -162,7 +166,7 @@ def match_phrases(s: State) -> State:
     if not s.rules.noun_phrases:
         return s
     new = s.tokens.where(F.col("tok").isin(*s.rules.noun_phrases)).withColumns({"term_id": F.concat(F.lit("PHRASE "), "tok"), "label": F.lit("PHRASE"), "edit_dist": F.lit(0)})
-    return replace(s, matches=s.matches.unionByName(new))
+    return replace(s, matches=s.matches.unionByName(_matched(new)))
 
 
 def block_cell_lines(s: State) -> State:
@@ -171,26 +175,48 @@ def block_cell_lines(s: State) -> State:
         special = special.unionByName(s.rules.superterm_links.where("term_id like 'CVCL:%'").select(F.col("linked_id").alias("term_id"))).distinct()
     ok = _key_terms(s).where(F.col("term_id").isin(*CELL_LINE_KEYS)).select(*PAIR)
     values, keys = s.matches.where("side = 'val'"), s.matches.where("side <> 'val'")
-    return replace(s, matches=U.licensed(values, special, ok).select(*s.matches.columns).unionByName(keys))
+    left = staged(U.licensed(values, special, ok).select(*s.matches.columns).unionByName(keys), "matches")
+    return replace(s, matches=left, seen=left.where("label <> 'PHRASE'"))
 
 
-def _terms(s: State) -> DataFrame:
-    out = s.matches.select("sample_id", "term_id", (F.col("hops") + 1).alias("hops"))
-    if s.implied is not None:
-        out = out.unionByName(s.implied)
-    return out.groupBy("sample_id", "term_id").agg(F.min("hops").alias("hops"))
+_ROOT = ("tok", "start", "end", "term_id", "label", "edit_dist")
+_IMPLIED = (*PAIR, "side", "root", "path", "term_id", "consequent")
+
+
+def _root() -> Column:
+    return F.struct(*_ROOT)
 
 
-def _imply(s: State, new: DataFrame) -> State:
-    new = new.select("sample_id", "term_id", F.lit(4).alias("hops"))
+def _nodes(s: State) -> DataFrame:
+    """All terms of a sample so far, whatever gave way: PAIR, side, root, path, term_id."""
+    out = (s.seen if s.seen is not None else s.matches).select(*PAIR, "side", _root().alias("root"), "path", "term_id")
+    return out if s.implied is None else out.unionByName(s.implied.select(*out.columns))
+
+
+def _alive(s: State, rows: DataFrame) -> DataFrame:
+    """``rows`` whose root is still a match; those that follow from a value have none and stay."""
+    left = s.matches.select(*PAIR, "side", _root().alias("root"))
+    return rows.where("root is null").unionByName(rows.where("root is not null").join(left, [*PAIR, "side", "root"], "left_semi").select(*rows.columns))
+
+
+def _infer(s: State, name: str, links: DataFrame, consequent: bool) -> State:
+    """Terms that follow by ``links (term_id, implied_id)`` from those there are now."""
+    met = _nodes(s).join(links.select("term_id", "implied_id").where("term_id <> implied_id").distinct(), "term_id")
+    return _imply(s, name, met.withColumn("term_id", F.col("implied_id")), consequent)
+
+
+def _imply(s: State, name: str, new: DataFrame, consequent: bool) -> State:
+    """Rows of one root and term keep their shortest path, so what follows by several ways doesn't multiply."""
+    new = _once(new.select(*PAIR, "side", "root", "term_id", _step(name, "term_id").alias("path"), F.lit(consequent).alias("consequent")))
+    new = new.select(*_IMPLIED)
     return replace(s, implied=new if s.implied is None else s.implied.unionByName(new))
 
 
 def follow_links(s: State) -> State:
     if s.rules.superterm_links is not None:
-        s = _imply(s, U.implied(_terms(s), s.rules.superterm_links.withColumnRenamed("linked_id", "implied_id")))
+        s = _infer(s, "linked term of an ancestor", s.rules.superterm_links.withColumnRenamed("linked_id", "implied_id"), True)
     if s.rules.disease_links is not None:
-        s = _imply(s, U.implied(_terms(s), s.rules.disease_links))
+        s = _infer(s, "disease of a cell line", s.rules.disease_links, False)
     return s
 
 
@@ -200,19 +226,28 @@ def drop_inner(s: State) -> State:
 
 
 def follow_consequents(s: State) -> State:
-    s = _imply(s, U.implied(_terms(s), _rows(s.spark, s.rules.consequents, "term_id string, implied_id string")))
+    s = _infer(s, "consequence", _rows(s.spark, s.rules.consequents, "term_id string, implied_id string"), True)
     if s.rules.combinations:
         needs_terms, needs_artifacts, gives = s.rules.combinations
-        s = _imply(s, U.combinations(_terms(s), s.tokens.select("sample_id", "tok").distinct(), needs_terms, needs_artifacts).join(gives, "rule"))
-    return s
+        here = _nodes(s)
+        met = U.combinations(here.select("sample_id", "term_id").distinct(), s.tokens.select("sample_id", "tok").distinct(), needs_terms, needs_artifacts)
+        giving = met.join(needs_terms, "rule").join(gives.withColumnRenamed("term_id", "implied_id"), "rule").select("sample_id", "term_id", "implied_id").where("term_id <> implied_id").distinct()
+        s = _imply(s, "combination", here.join(giving, ["sample_id", "term_id"]).withColumn("term_id", F.col("implied_id")), False)
+    return replace(s, implied=staged(s.implied, "implied"))
 
 
 def extract_values(s: State) -> State:
-    props = _key_terms(s).where(F.col("term_id").isin(*PROPERTIES)).withColumnRenamed("term_id", "property_id")
+    """Properties that a key reaches, numbers and units that its value does, by matches or what follows from them."""
+    live = s.matches.select(*PAIR, "side", "term_id")
+    if s.implied is not None:
+        live = live.unionByName(_alive(s, s.implied).select(*live.columns))
+    props = live.where(F.col("side") == "key").where(F.col("term_id").isin(*PROPERTIES)).select(*PAIR, F.col("term_id").alias("property_id")).distinct()
     values = s.tokens.where("side = 'val'").select(*PAIR, T.to_number(F.col("tok")).alias("value")).where("value is not null").distinct()
-    units = s.matches.where("side = 'val' and term_id like 'UO:%'").select(*PAIR, F.col("term_id").alias("unit_id")).distinct()
+    units = live.where("side = 'val' and term_id like 'UO:%'").select(*PAIR, F.col("term_id").alias("unit_id")).distinct()
     default = s.spark.createDataFrame(list(DEFAULT_UNITS.items()), "property_id string, default_unit string")
-    return replace(s, values=U.real_values(props, values, units, default))
+    found = U.real_values(props, values, units, default)
+    none = F.lit(None).cast(s.matches.select(_root().alias("r")).schema["r"].dataType)
+    return replace(s, values=staged(found.withColumns({"side": F.lit("val"), "root": none, "consequent": F.lit(False)}), "values"))
 
 
 def prefer_direct(s: State) -> State:
@@ -220,14 +255,19 @@ def prefer_direct(s: State) -> State:
 
 
 def follow_facts(s: State) -> State:
-    values = s.values.select("sample_id", "property_id", "value", "unit_id")
+    """Facts of cell lines, then adults by age, facts among the ages, then the terms of every cell line."""
     if s.rules.facts:
-        terms, more = U.entity_facts(_terms(s), *s.rules.facts)
-        s, values = _imply(s, terms), values.unionByName(more)
-        pair = {"kv_key": F.lit(None).cast("string"), "kv_value": F.lit(None).cast("string")}
-        s = replace(s, values=s.values.unionByName(more.withColumns(pair)))
-    s = _imply(s, U.adult_terms(values))
-    return _imply(s, U.namespace_terms(_terms(s)))
+        fact_terms, fact_values = s.rules.facts
+        known = _nodes(s).where(F.startswith("term_id", F.lit("CVCL:")))
+        more = known.join(fact_values.withColumnRenamed("fact_id", "term_id"), "term_id").withColumn("consequent", F.lit(True)).select(*s.values.columns).distinct()
+        s = _infer(s, "fact of a cell line", fact_terms.select(F.col("fact_id").alias("term_id"), F.col("term_id").alias("implied_id")), True)
+        s = replace(s, values=s.values.unionByName(more))
+    aged = s.values.where((F.col("property_id") == AGE) & (F.col("unit_id") == YEAR) & (F.col("value") > 18))
+    here = F.concat_ws(" ", "property_id", "value", "unit_id").alias("node")
+    adults = aged.select(*PAIR, "side", "root", F.array(F.struct(F.lit("value").alias("step"), here)).alias("path"))
+    s = _imply(s, "adult by age", adults.withColumn("term_id", F.explode(F.array(*map(F.lit, ADULT)))), True)
+    lines = _nodes(s).where(F.startswith("term_id", F.lit("CVCL:")))
+    return _imply(s, "cultured cell", lines.withColumn("term_id", F.explode(F.array(*map(F.lit, CULTURED)))), True)
 
 
 def prefer_exact(s: State) -> State:
@@ -241,21 +281,24 @@ STAGES: tuple[Stage, ...] = (
 
 
 def annotate(spark: SparkSession, kv: DataFrame, vocabulary: Vocabulary, rules: Rules | None = None, stages: tuple[Stage, ...] = STAGES) -> tuple[DataFrame, DataFrame]:
-    """``mapped (sample_id, term_id, consequent, orig_key, orig_value, hops)`` and ``values (.., property_id, value, unit_id)``.
+    """``mapped (sample_id, term_id, consequent, orig_key, orig_value, hops, path)`` and ``values (.., property_id, value, unit_id, consequent)``.
 
-    The origin is the pair with the fewest hops, ties by key and value. ``consequent``: only inferred, never matched.
+    Terms whose own match, or the match they follow from, is left at the end. The origin is the pair with the shortest
+    path, ties by key, value and path. ``consequent``: all ways to the term are inferences that count as such.
     """
     s = State(spark, kv, vocabulary, rules or Rules())
     for stage in stages:
         s = stage(s)
-    matched = s.matches.where("label <> 'PHRASE'").groupBy("sample_id", "term_id").agg(F.min(F.struct((F.col("hops") + 1).alias("hops"), "kv_key", "kv_value")).alias("b"))
-    direct = matched.select("sample_id", "term_id", F.lit(False).alias("consequent"), F.col("b.kv_key").alias("orig_key"), F.col("b.kv_value").alias("orig_value"), "b.hops")
-    none = F.lit(None).cast("string")
-    extra = s.implied.groupBy("sample_id", "term_id").agg(F.min("hops").alias("hops")).join(matched, ["sample_id", "term_id"], "left_anti")
-    mapped = direct.unionByName(extra.select("sample_id", "term_id", F.lit(True).alias("consequent"), none.alias("orig_key"), none.alias("orig_value"), "hops"))
+    found = s.matches.where("label <> 'PHRASE'").select("sample_id", "term_id", F.lit(False).alias("consequent"), "kv_key", "kv_value", "path")
+    if s.implied is not None:
+        found = found.unionByName(_alive(s, s.implied).select(*found.columns))
     if vocabulary.mappable is not None:
-        mapped = mapped.join(vocabulary.mappable, "term_id", "left_semi").select(*mapped.columns)
-    return mapped, s.values.select("sample_id", "property_id", "value", "unit_id", F.col("kv_key").alias("orig_key"), F.col("kv_value").alias("orig_value")).distinct()
+        found = found.join(vocabulary.mappable, "term_id", "left_semi").select(*found.columns)
+    best = F.min(F.struct(F.size("path").alias("hops"), "kv_key", "kv_value", "path")).alias("b")
+    one = found.groupBy("sample_id", "term_id").agg(F.bool_and("consequent").alias("consequent"), best)
+    mapped = one.select("sample_id", "term_id", "consequent", F.col("b.kv_key").alias("orig_key"), F.col("b.kv_value").alias("orig_value"), "b.hops", "b.path")
+    values = _alive(s, s.values).select("sample_id", "property_id", "value", "unit_id", "consequent", F.col("kv_key").alias("orig_key"), F.col("kv_value").alias("orig_value"))
+    return mapped, values.distinct()
 
 
 def with_ancestors(mapped: DataFrame, edges: DataFrame) -> DataFrame:

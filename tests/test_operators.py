@@ -192,9 +192,45 @@ def test_annotate(spark, obo):
     assert {(r.property_id, r.value, r.unit_id) for r in values.collect()} == {("EFO:0000246", 48.0, "UO:0000036")}
 
 
+def test_annotate_origins(spark):
+    """Paths and origins, inferences of both kinds, and what follows from a match that gave way."""
+    names = [("jurkat cell", "CVCL:1"), ("jurkat", "CVCL:2"), ("t cell", "CL:1"), ("source", "EFO:0000322"), ("tissue", "X:1"), ("kidney", "X:2")]
+    dictionary = spark.createDataFrame([(s, t, "TERM_NAME") for s, t in names], "s string, term_id string, target string")
+    rules = Rules(
+        superterm_links=spark.createDataFrame([("CVCL:1", "L:1"), ("CVCL:2", "L:2"), ("X:2", "L:3")], "term_id string, linked_id string"),
+        disease_links=spark.createDataFrame([("CVCL:1", "D:1"), ("X:2", "L:3")], "term_id string, implied_id string"),
+        consequents={"X:2": ["K:1"], "L:3": ["K:2"]},
+        combinations=(
+            spark.createDataFrame([("r", "CL:1"), ("r", "X:2")], "rule string, term_id string"),
+            spark.createDataFrame([("r", 0, "naive"), ("r", 0, "fresh")], "rule string, set_no int, tok string"),
+            spark.createDataFrame([("r", "C:1")], "rule string, term_id string"),
+        ),
+        facts=(
+            spark.createDataFrame([("CVCL:1", "F:1"), ("CVCL:2", "F:2")], "fact_id string, term_id string"),
+            spark.createDataFrame([("CVCL:1", "EFO:0000246", 60.0, "UO:0000036"), ("CVCL:2", "EFO:0000246", 70.0, "UO:0000036")], "fact_id string, property_id string, value double, unit_id string"),
+        ),
+    )
+    edges = spark.createDataFrame([], "child string, parent string")
+    kv = _kv(spark, ("a", "source", "Jurkat cell"), ("b", "note", "naive t cell"), ("b", "organ", "kidney"), ("c", "organ", "jurkat cell"), ("d", "source", None), ("e", "organ", "kidney"), ("e", "organ", "kidney"))
+    mapped, values = annotate(spark, kv, Vocabulary(dictionary, edges), rules)
+    got = {(r.sample_id, r.term_id): r for r in mapped.collect()}
+    of = lambda x: {t: r.consequent for (s, t), r in got.items() if s == x}
+    adult = dict.fromkeys(("EFO:0001272", "UBERON:0007023", "CL:0000010", "EFO_BTO:0000214"), True)
+    assert of("a") == {"CVCL:1": False, "EFO:0000322": False, "L:1": True, "D:1": False, "F:1": True} | adult  # nothing of CVCL:2, inside CVCL:1
+    assert of("b") == {"CL:1": False, "X:2": False, "L:3": False, "K:1": True, "K:2": True, "C:1": False}
+    assert of("e") == {"X:2": False, "L:3": False, "K:1": True, "K:2": True}
+    assert of("c") == {}  # a cell line without a key that licenses it, and what would follow
+    steps = [tuple(x) for x in got["a", "F:1"].path]
+    assert steps == [("val", "Jurkat cell"), ("lower case", "jurkat cell"), ("TERM_NAME", "CVCL:1"), ("fact of a cell line", "F:1")]
+    assert (got["a", "F:1"].hops, got["a", "F:1"].orig_key, got["a", "F:1"].orig_value) == (4, "source", "Jurkat cell")
+    assert [x.step for x in got["b", "CL:1"].path] == ["val", "n-gram", "TERM_NAME"]
+    assert {(r.sample_id, r.value, r.consequent) for r in values.collect()} == {("a", 60.0, True)}
+
+
 def test_best_class(spark):
     s = spark.createDataFrame([("a", "tissue", 0.2), ("a", "cell_line", 0.8), ("b", "tissue", 0.0), ("b", "cell_line", 0.0)], "sample_id string, label string, confidence double")
-    f = spark.createDataFrame([("a", True, False, 0, False, False)], "sample_id string, xenograft boolean, passaged boolean, passages int, stem boolean, ips boolean")
+    none = spark.createDataFrame([], "sample_id string, property_id string, value double, unit_id string")
+    f = L.rule_facts(spark.createDataFrame([("a", L.XENOGRAFT)], "sample_id string, term_id string"), none, spark.createDataFrame([], "term_id string, subset string"))
     got = {(r.sample_id, r.label, r.confidence) for r in L.normalized_best(L.rule_scores(s, f)).collect()}
     assert got == {("a", "tissue", 1.0), ("b", "cell_line", 0.0)}
 

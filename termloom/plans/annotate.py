@@ -51,6 +51,8 @@ class Rules:
     two_characters: dict[str, list[str]] = field(default_factory=lambda: dict(TWO_CHARACTERS))
     combinations: tuple[DataFrame, DataFrame, DataFrame] | None = None  # needs_terms, needs_artifacts, (rule, term_id)
     facts: tuple[DataFrame, DataFrame] | None = None  # (fact_id, term_id), (fact_id, property_id, value, unit_id)
+    properties: list[str] = field(default_factory=lambda: list(PROPERTIES))
+    default_units: dict[str, str] = field(default_factory=lambda: dict(DEFAULT_UNITS))
     delimiters: tuple[str, ...] = ("+", "_", "-", "/")
 
 
@@ -241,10 +243,10 @@ def extract_values(s: State) -> State:
     live = s.matches.select(*PAIR, "side", "term_id")
     if s.implied is not None:
         live = live.unionByName(_alive(s, s.implied).select(*live.columns))
-    props = live.where(F.col("side") == "key").where(F.col("term_id").isin(*PROPERTIES)).select(*PAIR, F.col("term_id").alias("property_id")).distinct()
+    props = live.where(F.col("side") == "key").where(F.col("term_id").isin(*s.rules.properties)).select(*PAIR, F.col("term_id").alias("property_id")).distinct()
     values = s.tokens.where("side = 'val'").select(*PAIR, T.to_number(F.col("tok")).alias("value")).where("value is not null").distinct()
     units = live.where("side = 'val' and term_id like 'UO:%'").select(*PAIR, F.col("term_id").alias("unit_id")).distinct()
-    default = s.spark.createDataFrame(list(DEFAULT_UNITS.items()), "property_id string, default_unit string")
+    default = s.spark.createDataFrame(list(s.rules.default_units.items()), "property_id string, default_unit string")
     found = U.real_values(props, values, units, default)
     none = F.lit(None).cast(s.matches.select(_root().alias("r")).schema["r"].dataType)
     return replace(s, values=staged(found.withColumns({"side": F.lit("val"), "root": none, "consequent": F.lit(False)}), "values"))

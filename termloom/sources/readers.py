@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+
+def _pairs(m: str) -> Column:
+    """The entries of a parsed map; of equal keys the last counts, as JSON readers have it."""
+    return F.expr(f"filter(map_entries({m}), (e, i) -> not exists(slice(map_entries({m}), i + 2, size({m})), x -> x.key = e.key))")
 
 
 def read_sample_list(spark: SparkSession, path: str) -> DataFrame:
     """``(sample_id, kv_key, kv_value)`` of a JSON list of flat maps; the sample is its place in the list."""
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<map<string,string>>", {"mode": "PERMISSIVE"}).alias("a"))
-    return raw.select(F.posexplode("a").alias("sample_id", "m")).select("sample_id", F.explode("m").alias("kv_key", "kv_value"))
+    return raw.select(F.posexplode("a").alias("sample_id", "m")).select("sample_id", F.inline(_pairs("m")).alias("kv_key", "kv_value"))
+
+
+def count_sample_list(spark: SparkSession, path: str) -> int:
+    """How many samples a JSON list has, those without a pair too."""
+    return spark.read.text(path, wholetext=True).select(F.size(F.from_json("value", "array<map<string,string>>")).alias("n")).first()["n"]
 
 
 def read_sample_map(spark: SparkSession, path: str) -> DataFrame:
     """``(sample_id, kv_key, kv_value)`` of JSON like accession -> tag -> value."""
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,string>>").alias("m"))
-    return raw.select(F.explode("m").alias("sample_id", "t")).select("sample_id", F.explode("t").alias("kv_key", "kv_value"))
+    return raw.select(F.explode("m").alias("sample_id", "t")).select("sample_id", F.inline(_pairs("t")).alias("kv_key", "kv_value"))
 
 
 def read_work_list(spark: SparkSession, path: str) -> DataFrame:
@@ -103,6 +113,13 @@ def assemble_lexicon(lexicon: DataFrame, *variants: DataFrame) -> tuple[DataFram
     return out.select(F.col("variant").alias("form"), "eui").distinct(), out.distinct()
 
 
+def read_lexicon_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The forms and variants of a folder's files of entries, spellings, inflections, nominalizations and trademarks."""
+    lex = read_lexicon(spark, f"{folder}/LEXICON")
+    kinds = (("LRSPL", "spelling", 1), ("LRAGR", "inflection", 1), ("LRNOM", "nominalization", 1), ("LRTRM", "trademark", 2))
+    return assemble_lexicon(lex, *[read_variants(spark, f"{folder}/{name}", kind, lex, column) for name, kind, column in kinds])
+
+
 def rows_as_tsv(df: DataFrame, columns: list[str], confidence: str | None = None, places: int = 3) -> DataFrame:
     """``(line)``: tab-separated values, the confidence with fixed places; nulls are empty."""
     text = lambda c: F.format_string(f"%.{places}f", c) if c == confidence else F.coalesce(F.col(c).cast("string"), F.lit(""))

@@ -1,20 +1,18 @@
-"""Embedding near-dedup on a robust-pruned flat graph.
+"""Embedding near-dedup by exact comparison within clusters.
 
 Vectors that are equal once scaled to unit length in double precision are one class from the start. Centroids are
-fitted on a bounded sample (``SAMPLE`` classes, at most ``MAX_CLUSTERS`` centroids); every class is indexed.
+fitted on a bounded sample (``SAMPLE`` classes, at most ``MAX_CLUSTERS`` centroids); every class has a home cluster.
 
-*Build.* Each class goes to its ``BUILD`` nearest clusters, so that shards overlap; within a shard each node's nearest
-``CANDIDATES`` are pruned robustly (a candidate is left out if one already taken is ``ALPHA`` times nearer to it than
-the node is). The shards' adjacency lists are united by node, with the edges' reverses, nearest ``DEGREE`` first.
+*Probe.* A class asks in every cluster that can hold a link of it: what is at home in cluster k is at least as near to
+k's centroid as to any other, so a link of a class at home in h is in k only if the class is within the threshold's
+angle of the plane between h's centroid and k's. No number of clusters bounds this. Of two clusters one asks the other.
 
-*Search.* A class asks in its ``SEARCH`` nearest clusters for the classes whose home they are, so that each link is
-found from both its ends and counted once at each. The search is greedy, from the medoids of the shard and the node
-itself; whatever it finds in range is expanded until no neighbour in range is new. All links are verified in double
-precision. A shard of more than ``MAX_SHARD`` members is parted by hash and each part asks in each part, so a hot
-cluster costs more tasks, never a larger one, and no link. Tasks return counts and one root for each member, no pairs.
+*Compare.* Each cluster's askers are compared with all that are at home there, in blocks, and links close to the
+threshold are verified in double precision. Askers and those at home are parted by hash into ``MAX_SHARD`` at most and
+each part asks in each part, so a hot cluster costs more tasks, never a larger one, and no link. Tasks return counts
+and one root for each member, no pairs. Comparisons grow with the square of the number of classes.
 
-*Audit.* Every task compares a bounded sample of its queries with all its targets; below ``RECALL`` overall, the search
-is made again with a beam four times as wide.
+*Audit.* ``AUDITED`` sampled classes are compared with all others, without clusters.
 """
 
 from __future__ import annotations
@@ -30,11 +28,8 @@ from termloom.functions.components import connected_components
 from termloom.functions.shared import staged
 from termloom.llm.common import narrow, table
 
-SAMPLE, MAX_CLUSTERS, CLUSTER = 20_000, 2048, 1024
-BUILD, SEARCH, MAX_SHARD = 2, 6, 12_288
-CANDIDATES, DEGREE, ALPHA = 40, 48, 1.2
-BEAM, STEPS, RECALL, AUDITED = 8, 16, 0.97, 64
-BLOCK = 1024
+SAMPLE, MAX_CLUSTERS, MAX_SHARD = 20_000, 2048, 12_288
+AUDITED, BLOCK = 64, 256
 
 
 def _matrix(v) -> np.ndarray:
@@ -73,33 +68,6 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return c
 
 
-def pruned_neighbours(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the robustly pruned nearest rows, -1 where there are fewer, and their cosines."""
-    n, c = len(x), min(CANDIDATES, len(x) - 1)
-    kept, sims = np.full((n, max(c, 1)), -1, np.int64), np.zeros((n, max(c, 1)))
-    if c < 1:
-        return kept, sims
-    for lo in range(0, n, BLOCK):
-        s = x[lo : lo + BLOCK] @ x.T
-        q = np.arange(len(s))
-        s[q, lo + q] = -2
-        cand = np.argpartition(-s, c - 1, axis=1)[:, :c]
-        near = np.take_along_axis(s, cand, 1)
-        order = np.argsort(-near, 1)
-        cand, near = np.take_along_axis(cand, order, 1), np.take_along_axis(near, order, 1)
-        alive = np.ones(cand.shape, bool)
-        own = np.sqrt(np.maximum(2 - 2 * near, 0))
-        for r in range(c):
-            live = alive[:, r]
-            kept[lo : lo + BLOCK, r] = np.where(live, cand[:, r], -1)
-            sims[lo : lo + BLOCK, r] = near[:, r]
-            if r + 1 < c:
-                rest = x[cand[:, r + 1 :]]
-                d = np.sqrt(np.maximum(2 - 2 * np.einsum("qd,qcd->qc", x[cand[:, r]], rest), 0))
-                alive[:, r + 1 :] &= ~(live[:, None] & (ALPHA * d <= own[:, r + 1 :]))
-    return kept, sims
-
-
 def lowest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest number that links a-b reach from each of 0 to n - 1."""
     low = np.arange(n)
@@ -113,72 +81,64 @@ def lowest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = new
 
 
-def range_search(x: np.ndarray, adjacent: np.ndarray, queries: np.ndarray, entries: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, row) in range that the graph leads to, verified in double precision."""
-    n, f = len(x), x.astype(np.float32)
-    low = np.float32(threshold - 1e-5)
-    all_q, all_r = [], []
-    for lo in range(0, len(queries), BLOCK):
-        q = queries[lo : lo + BLOCK]
-        m = len(q)
-        row = np.arange(m)[:, None]
-        seen = np.zeros((m, n + 1), bool)
-        seen[:, n] = True
-        start = np.concatenate([np.broadcast_to(entries, (m, len(entries))), q[:, None]], 1)
-        first = np.einsum("qd,qed->qe", f[q], f[start])
-        dup = start[:, :-1] == q[:, None]
-        first[:, :-1][dup] = -3
-        seen[row, start] = True
-        found = [((row + 0 * start)[first >= low], start[first >= low])]
-        ids = np.full((m, beam + start.shape[1]), n, np.int64)
-        sim = np.full(ids.shape, -3, np.float32)
-        ids[:, : start.shape[1]], sim[:, : start.shape[1]] = start, first
-        done = sim <= -3
-        active = np.arange(m)
-        for _ in range(STEPS * max(1, beam // BEAM)):
-            score = np.where(done[active], -4, sim[active])
-            best = score.argmax(1)
-            active, best = active[go := score[np.arange(len(active)), best] > -4], best[go]
-            if not len(active):
-                break
-            node = ids[active, best]
-            done[active, best] = True
-            nb = adjacent[node]
-            fresh = ~seen[active[:, None], nb]
-            seen[active[:, None], nb] = True
-            s = np.where(fresh, np.einsum("qd,qrd->qr", f[q[active]], f[np.where(nb < n, nb, 0)]), -3)
-            hit = s >= low
-            found.append((np.broadcast_to(active[:, None], nb.shape)[hit], nb[hit]))
-            both_i, both_s = np.concatenate([ids[active], nb], 1), np.concatenate([sim[active], s], 1)
-            both_d = np.concatenate([done[active], ~fresh], 1)
-            top = np.argpartition(-both_s, beam - 1, 1)[:, : ids.shape[1]]
-            pad = ids.shape[1]
-            ids[active], sim[active], done[active] = (np.take_along_axis(z, top, 1)[:, :pad] for z in (both_i, both_s, both_d))
-        front_q, front_r = (np.concatenate(z) for z in zip(*found))
-        while len(front_q):  # what is in range is expanded
-            all_q.append(q[front_q])
-            all_r.append(front_r)
-            new_q, new_r = [], []
-            for at in range(0, len(front_q), 8192):
-                nb = adjacent[front_r[at : at + 8192]]
-                code = np.unique((front_q[at : at + 8192, None] * (n + 1) + nb)[~seen[front_q[at : at + 8192, None], nb]])
-                a, b = code // (n + 1), code % (n + 1)
-                seen[a, b] = True
-                hit = np.einsum("pd,pd->p", f[q[a]], f[b]) >= low
-                new_q.append(a[hit])
-                new_r.append(b[hit])
-            front_q, front_r = np.concatenate(new_q), np.concatenate(new_r)
-    a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (all_q, all_r))
-    ok = a != b
-    a, b = a[ok], b[ok]
-    good = np.zeros(len(a), bool)
-    for at in range(0, len(a), 100_000):
-        good[at : at + 100_000] = np.einsum("pd,pd->p", x[a[at : at + 100_000]], x[b[at : at + 100_000]]) >= threshold
-    return a[good], b[good]
+def united(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``low`` with the links a-b added."""
+    a, b = low[a], low[b]
+    on = a != b
+    return lowest(len(low), a[on], b[on])[low] if on.any() else low
+
+
+def in_range(q: np.ndarray, x: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """First row and hits (rows of ``q`` by rows of ``x``) of each block; only cosines near the threshold need doubles."""
+    slack = 1e-5 + q.shape[1] * 2.0**-23 if len(q) else 0
+    f, g = q.astype(np.float32), x.astype(np.float32)
+    for lo in range(0, len(q), BLOCK):
+        s = f[lo : lo + BLOCK] @ g.T
+        hit = s >= threshold - slack
+        i, j = np.nonzero(hit & (s < threshold + slack))
+        for at in range(0, len(i), 10_000):
+            k, t = i[at : at + 10_000], j[at : at + 10_000]
+            hit[k, t] = np.einsum("pd,pd->p", q[lo + k], x[t]) >= threshold
+        yield lo, hit
+
+
+def probes(v: np.ndarray, c: np.ndarray, threshold: float) -> tuple[int, np.ndarray]:
+    """The home cluster of ``v`` and whether each cluster can hold a vector in range of it. Centroids are unit vectors."""
+    s = c @ v
+    home = int(s.argmax())
+    if threshold <= 0:
+        return home, np.ones(len(c), bool)
+    gap = np.sqrt(np.maximum(((c - c[home]) ** 2).sum(1), 0))
+    return home, s[home] - s <= gap * np.sqrt(max(1 - threshold**2, 0)) + 1e-9
+
+
+def _audit(classes: DataFrame, per_node: DataFrame, threshold: float) -> dict:
+    """Links of ``AUDITED`` classes, compared with every class, and as counted."""
+    sample = classes.orderBy(F.xxhash64(F.lit(2), "node"), "node").limit(AUDITED).select("node", "dim", "v").collect()
+    by_dim = {d: ([r["node"] for r in sample if r["dim"] == d], _matrix([bytes(r["v"]) for r in sample if r["dim"] == d])) for d in {r["dim"] for r in sample}}
+    held = classes.sparkSession.sparkContext.broadcast(by_dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = np.array(batch.column(1).to_pylist())
+            for dim, (nodes, q) in held.value.items():
+                if not (mine := np.flatnonzero(of == dim)).size:
+                    continue
+                row = batch.take(pa.array(mine))
+                there, m = row.column(0).to_pylist(), row.column(2).to_numpy()
+                hit = q @ _matrix(row.column(3).to_pylist()).T >= threshold
+                hit &= np.array(nodes, object)[:, None] != np.array(there, object)[None, :]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array((hit * m).sum(1), pa.int64())], ["node", "n"])
+
+    true = {r["node"]: r["n"] for r in classes.select("node", "dim", "m", "v").mapInArrow(run, "node string, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()}
+    found = {r["node"]: r["links"] for r in per_node.where(F.col("node").isin(list(true))).collect()}
+    out = {"true": sum(true.values()), "found": sum(found.values())}
+    return out
 
 
 def vector_components(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, dict]:
-    """``(vec_id, n_links, component_id, kept)`` for every row, and the audit.
+    """``(vec_id, n_links, component_id, kept)`` for every row, and the audit: links of the sampled
+    classes by plain comparison and as found.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing: no links, their own
     component, kept. Vectors of different lengths don't link. Rows with a null id count as links of others; their
@@ -198,89 +158,65 @@ def vector_components(vectors: DataFrame, threshold: float = 0.95, id_col: str =
     for dim in {r["dim"] for r in sample}:
         x = _matrix([bytes(r["v"]) for r in sample if r["dim"] == dim])
         n = total * len(x) / len(sample)
-        centroids[dim] = fit_centroids(x, 1 if n <= MAX_SHARD // 2 else min(MAX_CLUSTERS, len(x), round(n / CLUSTER) + 1))
+        centroids[dim] = fit_centroids(x, 1 if n <= MAX_SHARD // 2 else min(MAX_CLUSTERS, len(x), round(n / (MAX_SHARD // 2)) + 1))
     held = spark.sparkContext.broadcast(centroids)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                near = []
-                for dim, v in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    c = held.value.get(dim)  # a length outside the sample has one cluster
-                    s = np.zeros(1) if c is None else c @ np.frombuffer(v)
-                    near.append([f"{dim}/{k}" for k in np.argsort(-s, kind="stable")[:SEARCH]])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(near, pa.list_(pa.string()))], ["node", "near"])
-
-    near = classes.select("node", "dim", "v").mapInArrow(assign, "node string, near array<string>")
-    member = staged(classes.join(near, "node").select("node", "m", "v", "near"), "vec-members") if total else None
-    if member is None:
+            homes, asks = [], []
+            for dim, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                c = held.value.get(dim)  # a length outside the sample has one cluster
+                h, can = (0, np.ones(1, bool)) if c is None else probes(np.frombuffer(v), c, threshold)
+                homes.append(f"{dim}/{h}")
+                # of two clusters the same one always asks: half of all others for each
+                asks.append([f"{dim}/{k}" for k in np.flatnonzero(can) if k == h or (k < h) == ((k + h) % 2 == 0)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(homes, pa.string()), pa.array(asks, pa.list_(pa.string()))], ["node", "home", "asks"])
+
+    if not total:
         return units.select(F.col("_id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.col("_id").isNotNull().alias("kept")), {"true": 0, "found": 0}
+    placed = classes.select("node", "dim", "v").mapInArrow(assign, "node string, home string, asks array<string>")
+    member = staged(classes.join(placed, "node").select("node", "m", "v", "home", "asks"), "vec-members")
+
+    at_home = member.groupBy(F.col("home").alias("shard")).agg(F.count("*").alias("n_to"))
+    askers = member.select(F.explode("asks").alias("shard")).groupBy("shard").agg(F.count("*").alias("n_from"))
+    # a row a cluster
+    parts = F.broadcast(staged(at_home.join(askers, "shard").select("shard", F.ceil(F.col("n_to") / MAX_SHARD).alias("n_j"), F.ceil(F.col("n_from") / MAX_SHARD).alias("n_i")), "vec-parts"))
+    part_of = lambda parts, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(parts))
+    all_of = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    asking = member.select("node", "m", "v", "home", F.explode("asks").alias("shard")).join(parts, "shard")
+    asked = member.select("node", "m", "v", "home", F.col("home").alias("shard")).join(parts, "shard")
+    dealt = asking.select("shard", "node", "m", "v", "home", F.lit(True).alias("query"), part_of("n_i", 8).alias("i"), all_of("n_j").alias("j")).unionByName(
+        asked.select("shard", "node", "m", "v", "home", F.lit(False).alias("query"), all_of("n_i").alias("i"), part_of("n_j", 9).alias("j"))
+    )
 
-    part_of = lambda parts, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), parts).cast("int")
-
-    def parted(rows: DataFrame) -> DataFrame:
-        sizes = rows.groupBy("shard").agg(F.count("*").alias("size"))  # a row a cluster
-        return rows.join(F.broadcast(sizes), "shard").withColumn("parts", F.ceil(F.col("size") / MAX_SHARD))
-
-    build = parted(member.select("node", "v", F.explode(F.slice("near", 1, BUILD)).alias("shard")))
-    # a shard in parts is dealt three times, each time otherwise, so that edges lead from every part to every other
-    turns = F.when(F.col("parts") > 1, F.array(*[F.struct(F.lit(t).alias("t"), part_of(F.col("parts"), 20 + t).alias("p")) for t in range(3)]))
-    build = build.withColumn("part", F.explode(F.coalesce(turns, F.array(F.struct(F.lit(0).alias("t"), F.lit(0).alias("p"))))))
-
-    def edges(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, sims = pruned_neighbours(_matrix(pdf["v"].tolist()))
-        i, j = np.nonzero(kept >= 0)
-        names = pdf["node"].to_numpy(object)
-        a, b, s = names[i], names[kept[i, j]], sims[i, j]
-        return pd.DataFrame({"a": np.r_[a, b], "b": np.r_[b, a], "s": np.r_[s, s]})
-
-    found = build.select("shard", "part", "node", "v").groupBy("shard", "part").applyInPandas(edges, "a string, b string, s double").dropDuplicates(["a", "b"])
-    lists = found.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "b")), asc=False), 1, DEGREE)["b"].alias("to"))
-    graph = staged(member.join(lists, F.col("node") == F.col("a"), "left").select("node", "m", "v", "near", "to"), "vec-graph")
-
-    asks = parted(graph.select("node", "m", "v", "to", F.posexplode("near").alias("at", "shard"))).withColumn("own", part_of(F.col("parts"), 9))
-    dealt = asks.select(
-        "shard", "node", "m", "v", "to", (F.col("at") == 0).alias("home"), "own",
-        F.explode(F.expr("array_distinct(flatten(transform(sequence(0, int(parts - 1)), k -> array(struct(own as i, k as j), struct(k as i, own as j)))))")).alias("ij"),
-    ).select("shard", "node", "m", "v", "to", (F.col("home") & (F.col("own") == F.col("ij.j"))).alias("target"), (F.col("own") == F.col("ij.i")).alias("query"), F.col("ij.i").alias("i"), F.col("ij.j").alias("j"))
-
-    def searching(beam: int):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("node", ignore_index=True)
-            x, names, n = _matrix(pdf["v"].tolist()), pdf["node"].tolist(), len(pdf)
-            number = {k: i for i, k in enumerate(names)}
-            adjacent = np.full((n + 1, DEGREE), n, np.int64)
-            for i, to in enumerate(pdf["to"]):
-                if to is not None:
-                    mine = [number[t] for t in to if t in number]
-                    adjacent[i, : len(mine)] = mine
-            target, query, m = pdf["target"].to_numpy(bool), np.flatnonzero(pdf["query"].to_numpy(bool)), pdf["m"].to_numpy(np.int64)
-            entries = np.unique([int(np.argmax(x @ x[g].mean(0) + np.where(g, 0, -9))) for g in (target, ~target) if g.any()])
-            a, b = range_search(x, adjacent, query, entries, threshold, beam)
-            a, b = a[target[b]], b[target[b]]
-            links = np.zeros(n, np.int64)
-            np.add.at(links, a, m[b])
-            low = lowest(n, a, b)
-            audit = query[:: max(1, len(query) // AUDITED)][:AUDITED]
-            s = (x[audit] @ x.T >= threshold) & target[None, :]
-            s[np.arange(len(audit)), audit] = False
-            true, got = int(s.sum()), int(np.isin(a, audit).sum())
-            out = np.flatnonzero((links > 0) | (low != np.arange(n)))
-            return pd.DataFrame(
-                {"node": [names[i] for i in out] + [None], "links": np.r_[links[out], 0], "root": [names[low[i]] for i in out] + [None], "true": np.r_[0 * out, true], "got": np.r_[0 * out, min(got, true)]}
-            )
-
-        return run
-
-    for beam in (BEAM, 4 * BEAM):
-        hits = staged(dealt.groupBy("shard", "i", "j").applyInPandas(searching(beam), "node string, links long, root string, true long, got long"), "vec-hits")
-        row = hits.agg(F.sum("true").alias("true"), F.sum("got").alias("found")).first()
-        audit = {"true": row["true"] or 0, "found": row["found"] or 0, "beam": beam}
-        if audit["found"] >= RECALL * audit["true"]:
-            break
-    linked = hits.where("node is not null")
-    per_node = linked.groupBy("node").agg(F.sum("links").alias("links"))
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["query", "node"], ignore_index=True)
+        cut = int((~pdf["query"]).sum())
+        names, m, v = pdf["node"].to_numpy(object), pdf["m"].to_numpy(np.float64), pdf["v"].tolist()
+        own = (pdf["home"] == pdf["shard"]).to_numpy(bool)[cut:]
+        if not cut or cut == len(names):
+            return pd.DataFrame({"node": [], "links": [], "root": []})
+        x, q = _matrix(v[:cut]), _matrix(v[cut:])
+        del pdf, v
+        number = {k: i for i, k in enumerate(names[:cut])}
+        self_at = np.array([number.get(k, -1) if o else -1 for k, o in zip(names[cut:], own)])
+        links, low = np.zeros(len(names)), np.arange(len(names))
+        low[cut:][self_at >= 0] = self_at[self_at >= 0]
+        for lo, hit in in_range(q, x, threshold):
+            k = np.arange(lo, lo + len(hit))
+            same = self_at[k] >= 0
+            hit[np.flatnonzero(same), self_at[k[same]]] = False
+            links[cut + k] += hit @ m[:cut]
+            away = ~own[k]  # these aren't asked in their turn
+            links[:cut] += m[cut + k[away]] @ hit[away]
+            i, j = np.nonzero(hit)
+            low = united(low, cut + lo + i, j)
+        out = np.flatnonzero((links > 0) | (low != np.arange(len(names))))
+        return pd.DataFrame({"node": names[out], "links": links[out].astype(np.int64), "root": names[low[out]]})
+
+    linked = staged(dealt.groupBy("shard", "i", "j").applyInPandas(compare, "node string, links long, root string"), "vec-hits")
+    per_node = staged(linked.groupBy("node").agg(F.sum("links").alias("links")), "vec-links")
+    audit = _audit(classes, per_node, threshold)
     comp = connected_components(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cn")
     named = classes.select("node", "rep", "m").join(comp, F.col("node") == F.col("cn"), "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("rep").alias("least"))

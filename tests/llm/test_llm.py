@@ -121,6 +121,24 @@ def test_vectors_in_parts(spark, monkeypatch):
     assert sum(r.n_links for r in got.values()) >= 0.95 * link.sum()
 
 
+def test_vectors_of_a_group_over_many_clusters(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "MAX_SHARD", 60)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 16))
+    x[:900] = x[0] + rng.normal(size=(900, 16)) * 0.22  # distinct near copies, by k-means in many clusters
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out, audit = vector_graph.vector_components(df)
+    got = {r.vec_id: r for r in out.collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    homes = (u[:900] @ vector_graph.fit_centroids(u, 51).T).argmax(1)
+    assert len(set(homes.tolist())) > 6
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    assert link.sum() > 100_000 and [got[i].n_links for i in range(1500)] == link.sum(1).tolist()
+    assert [got[i].component_id for i in range(1500)] == vector_graph.lowest(len(x), *np.nonzero(link)).tolist()
+    assert audit["true"] == audit["found"] > 0
+
+
 # ---- language model ----
 def test_forward_and_baum_welch_as_plain_loops():
     rng = np.random.default_rng(1)

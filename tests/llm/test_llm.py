@@ -139,6 +139,16 @@ def test_vectors_of_a_group_over_many_clusters(spark, monkeypatch):
     assert audit["true"] == audit["found"] > 0
 
 
+def test_vectors_audit_is_loud(spark, monkeypatch):
+    lose = vector_graph.in_range
+    monkeypatch.setattr(vector_graph, "in_range", lambda *a: ((lo, hit & (np.arange(hit.shape[1]) % 2 == 0)) for lo, hit in lose(*a)))
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=8) + rng.normal(size=(120, 8)) * 0.02
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="by plain comparison"):
+        vector_graph.vector_components(df)
+
+
 # ---- language model ----
 def test_forward_and_baum_welch_as_plain_loops():
     rng = np.random.default_rng(1)

@@ -26,6 +26,7 @@ BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4, 5, 6)
 WINDOW = 16
+LONGEST = 200
 #: Bounds of the training sample.
 MAX_TRAIN, MAX_CLEAN, MAX_WORDS = 1500, 4000, 2000
 PASSES, WHOLE, FIRST_BAG = 12, 4, 256
@@ -35,14 +36,17 @@ SEED = 20240607
 def words_of(text: str | None) -> list[str]:
     """The distinct words in the order in which they first occur, in lower case without punctuation at their ends.
 
-    A word of punctuation alone stays as it is. A bag holds a word once, so that repeating a word changes nothing.
+    A word of punctuation alone stays as it is. A bag holds a word once, so that repeating a word changes nothing. A run
+    of more than ``LONGEST`` code points is several words, which overlap so that each n-gram is in one of them.
     """
-    return list(dict.fromkeys(w.strip(".,;:!?\"'()[]*#$%&") or w for w in (text or "").lower().split()))
+    words = (w.strip(".,;:!?\"'()[]*#$%&") or w for w in (text or "").lower().split())
+    over = max(GRAMS)
+    return list(dict.fromkeys(p for w in words for p in ([w] if len(w) <= LONGEST else (w[i : i + LONGEST] for i in range(0, len(w) - over, LONGEST - over)))))
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and word number of every n-gram of ``<word>`` and of every whole word."""
-    marked = [f"<{w[:200]}>" for w in words]
+    marked = [f"<{w}>" for w in words]
     code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     length = np.array([len(m) for m in marked], np.int64)
     owner = np.repeat(np.arange(len(words)), length)

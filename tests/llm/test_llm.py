@@ -365,6 +365,17 @@ def test_toxicity_rows(spark, edges):
     assert toxicity.score(edges.limit(0), toxicity.train(edges.limit(0), labels(spark, edges))).count() == 0
 
 
+def test_toxicity_words_without_blanks():
+    rng = np.random.default_rng(9)
+    run = "".join(chr(0x4E00 + int(k)) for k in rng.integers(0, 3000, 1000))
+    pieces = toxicity.words_of(run)
+    assert all(any(run[i : i + 6] in p for p in pieces) for i in range(995)) and max(map(len, pieces)) <= 200
+    adds = rng.normal(size=toxicity.BUCKETS)
+    one, other = toxicity.score_texts([run[:-60] + "stupid" + run[-60:], run[:-60] + "galomi" + run[-60:]], adds, 0.0)
+    assert one != other
+    assert toxicity.words_of("w" * 200) == ["w" * 200]
+
+
 # ---- pipeline ----
 def test_pipeline_stages(spark):
     import corpus_pipeline as P

@@ -8,8 +8,7 @@ out by what surrounds it. Training is joint over embeddings and softmax, in nump
 worst window of every training text under the present model, as only texts are labelled.
 
 The model learns on a bounded sample of labelled rows: ``MAX_TRAIN`` toxic and
-``MAX_CLEAN`` others, in hash order, with at most
-``MAX_WORDS`` words of a long text in training windows drawn evenly over the whole text. Scoring reads every text whole.
+``MAX_CLEAN`` others, in hash order. Their texts are read whole, as in scoring.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ GRAMS = (3, 4, 5, 6)
 WINDOW = 16
 LONGEST = 200
 #: Bounds of the training sample.
-MAX_TRAIN, MAX_CLEAN, MAX_WORDS = 1500, 4000, 2000
+MAX_TRAIN, MAX_CLEAN = 1500, 4000
 PASSES, WHOLE, FIRST_BAG = 12, 4, 256
 SEED = 20240607
 
@@ -92,7 +91,7 @@ class SubwordSoftmax:
         count = np.bincount(owner, minlength=len(index)).astype(np.float32)
         bucket, at = bucket[np.argsort(owner, kind="stable")].astype(np.int32), np.r_[0, np.cumsum(count.astype(np.int64))]
         del owner
-        ids = [np.array([index[w] for w in t], np.int64) for t in texts]
+        ids = [np.array([index[w] for w in t], np.int32) for t in texts]
         share = np.bincount(y, minlength=2)
         cost = (len(y) / (2 * np.maximum(share, 1)))[y]
         ge, gw, gb = np.full(BUCKETS, 1e-6, np.float32), np.full(self.w.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
@@ -182,19 +181,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text = narrow(docs, _doc=id_col, _t=text_col)
     met = text.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_id", "_y", "_t")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t in batch.column(2):
-                w = words_of(t.as_py())
-                if len(w) > MAX_WORDS:
-                    keep = np.unique(np.linspace(0, len(w) // WINDOW - 1, MAX_WORDS // WINDOW).astype(int))
-                    w = [x for k in keep for x in w[k * WINDOW : (k + 1) * WINDOW]]
-                out.append(" ".join(w))
+            out = [" ".join(words_of(t.as_py())) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array(out, pa.string())], ["_id", "_y", "_t"])
 
     kind = dict(met.dtypes)["_id"]
-    rows = sorted(tuple(r) for r in met.mapInArrow(cut, f"_id {kind}, _y long, _t string").collect())
+    rows = sorted(tuple(r) for r in met.mapInArrow(words, f"_id {kind}, _y long, _t string").collect())
     return SubwordSoftmax().fit([r[2].split() for r in rows], [int(r[1]) for r in rows])
 
 

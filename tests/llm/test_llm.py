@@ -376,6 +376,15 @@ def test_toxicity_words_without_blanks():
     assert toxicity.words_of("w" * 200) == ["w" * 200]
 
 
+def test_toxicity_learns_from_whole_texts(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(toxicity.SubwordSoftmax, "fit", lambda self, texts, y: taken.extend(texts))
+    d = docs(spark, " ".join(f"w{i}" for i in range(5000)), "fine")
+    got = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(2)], "doc_id long, toxic int")
+    toxicity.train(d, got, held_fold=9)
+    assert sorted(map(len, taken)) == [1, 5000]
+
+
 # ---- pipeline ----
 def test_pipeline_stages(spark):
     import corpus_pipeline as P

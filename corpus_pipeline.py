@@ -27,11 +27,10 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the row with the smallest id stays. Rows without a word are no copies of each other: all stay."""
+    """Of each component the row with the smallest id stays, of rows without a word too."""
     found = simhash.simhash_components(docs).where("component_id < doc_id").select(F.col("doc_id").alias("_copy")).hint("shuffle_hash")
-    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     met = docs.select(*COLUMNS).join(found, F.col("doc_id") == F.col("_copy"), "left")
-    return met.where(F.col("_copy").isNull() | ~has_words).select(*COLUMNS)
+    return met.where("_copy is null").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

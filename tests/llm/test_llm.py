@@ -409,6 +409,13 @@ def test_pipeline_stages(spark):
     assert P.run(spark, DATA).count() == d.count()
 
 
+def test_pipeline_keeps_one_wordless_row(spark):
+    import corpus_pipeline as P
+
+    d = docs(spark, "", None, " \n ", "one text of its own", ids=[4, 2, 3, 1])
+    assert sorted(r.doc_id for r in P.one_of_near_copies(spark, d, DATA).collect()) == [1, 2]
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_oracles(spark, name):
     import duckdb

@@ -53,5 +53,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     roots = current.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -18,6 +18,8 @@ def closure(edges: DataFrame, nodes: DataFrame, rounds: int = 1000) -> DataFrame
         if new.isEmpty():
             break
         all_ = all_.unionByName(new)
+    else:
+        raise RuntimeError(f"chains of {rounds} edges or more")
     return all_
 
 

@@ -8,8 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from termloom.functions import components
 from termloom.llm import byte_bpe, hmm_lm, license_scan, line_dedup, mixing, quality_ordinal, quality_rules, registry, simhash, toxicity, vector_graph
 from termloom.llm.common import table
+from termloom.operators import graph
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, v double, words string, n int"
@@ -87,6 +89,19 @@ def test_bpe_rows(spark, edges, vocab):
     assert byte_bpe.encode_documents(edges.limit(0), *vocab).count() == 0
 
 
+# ---- graphs ----
+def test_unfinished_rounds_are_errors(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    assert {r.root for r in components.connected_components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError, match="still change"):
+        components.connected_components(chain, max_rounds=1)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(6)], "child long, parent long")
+    terms = spark.createDataFrame([(0,)], "term_id long")
+    assert graph.closure(edges, terms, rounds=7).count() == 7
+    with pytest.raises(RuntimeError, match="chains"):
+        graph.closure(edges, terms, rounds=3)
+
+
 # ---- embeddings ----
 def test_vectors_as_brute_force(spark):
     rng = np.random.default_rng(4)

@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from termloom.functions.shared import staged
 from termloom.llm.common import LOWER, UPPER, narrow, table
-from termloom.llm.license_texts import KNOWN
+from termloom.llm.license_texts import KNOWN, KNOWN_DIGESTS
 
 #: Equivalent spellings, as stems of canonical words.
 SPELLINGS = (("licenc", "licens"), ("authoris", "authoriz"), ("organis", "organiz"), ("favour", "favor"), ("non infring", "noninfring"), ("judgement", "judgment"), ("merchantib", "merchantab"))
@@ -30,44 +31,47 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
-def known_digests(spark: SparkSession, known: tuple = KNOWN) -> DataFrame:
-    """``(digest, license)``; of several licences with one text the first by name."""
+def known_digests(spark: SparkSession, known: tuple = KNOWN, digests: tuple = KNOWN_DIGESTS) -> DataFrame:
+    """``(digest, license)`` of known texts and of texts known by their digest; of several licences with one text the first by name."""
     import re
 
     for name, text in known:
         if not re.search(STEM, text):
             raise ValueError(f"a text of {name} holds no stem of {STEM}")
-    rows = spark.createDataFrame(list(known), "license string, text string")
-    return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    texts = spark.createDataFrame(list(known), "license string, text string").select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license")
+    return texts.unionByName(spark.createDataFrame(list(digests), "license string, digest string")).groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: tuple = KNOWN) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: tuple = KNOWN, digests: tuple = KNOWN_DIGESTS) -> DataFrame:
     """``(doc_id, license, notices, n_notices)`` for every row.
 
     ``license``: what the entire text is, or null. ``notices``: the licences that entire lines are, sorted, each once,
     with commas; empty without any. ``n_notices``: the number of such lines. Null and empty texts match nothing; rows
     with null or repeated ids get a row each; an empty table gives no rows.
+
+    Texts are read once and never shuffled: a written table holds each row's digests, that of the entire text first.
+    Only digests that are known leave the join, and they meet their rows by row number.
     """
     spark = docs.sparkSession
-    names = known_digests(spark, known)
-    if len(known) <= BROADCAST_ROWS:
+    names = known_digests(spark, known, digests)
+    if len(known) + len(digests) <= BROADCAST_ROWS:
         names = F.broadcast(names)
-    own = narrow(docs, _id=id_col, _t=text_col).withColumn("_h", F.xxhash64("_t"))
-    hits = own.where(F.col("_t").rlike(STEM)).dropDuplicates(["_id", "_h"])
-    entire = hits.select("_id", "_h", F.lit(True).alias("whole"), F.col("_t").alias("unit"))
-    lines = hits.select("_id", "_h", F.lit(False).alias("whole"), F.explode(F.split("_t", "\n", -1)).alias("unit")).where(F.col("unit").rlike(STEM))
+    digest = lambda unit: F.sha2(canonical(unit), 256)
+    lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(STEM))
+    units = F.when(F.col("_t").rlike(STEM), F.concat(F.array(digest(F.col("_t"))), F.transform(lines, digest)))
+    rows = staged(narrow(docs, _id=id_col, _t=text_col).select("_id", F.monotonically_increasing_id().alias("_row"), units.alias("_units")), "license-digests")
     found = (
-        entire.unionByName(lines)
-        .select("_id", "_h", "whole", F.sha2(canonical(F.col("unit")), 256).alias("digest"))
+        rows.where("_units is not null")
+        .select("_row", F.posexplode("_units").alias("at", "digest"))
         .join(names, "digest")
-        .groupBy(F.col("_id").alias("_fid"), F.col("_h").alias("_fh"))
+        .groupBy(F.col("_row").alias("_found"))
         .agg(
-            F.min(F.when(F.col("whole"), F.col("license"))).alias("license"),
-            F.array_join(F.sort_array(F.collect_set(F.when(~F.col("whole"), F.col("license")))), ",").alias("notices"),
-            F.sum(F.when(F.col("whole"), 0).otherwise(1)).cast("long").alias("n_notices"),
+            F.min(F.when(F.col("at") == 0, F.col("license"))).alias("license"),
+            F.array_join(F.sort_array(F.collect_set(F.when(F.col("at") > 0, F.col("license")))), ",").alias("notices"),
+            F.count(F.when(F.col("at") > 0, 1)).alias("n_notices"),
         )
     )
-    return own.select("_id", "_h").join(found, F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_h") == F.col("_fh")), "left").select(
+    return rows.select("_id", "_row").join(found, F.col("_row") == F.col("_found"), "left").select(
         F.col("_id").alias("doc_id"), "license", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices")
     )
 
@@ -87,8 +91,13 @@ def _canonical_sql(x: str) -> str:
 
 def _oracle() -> str:
     rows = ", ".join("('" + n + "', '" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "')" for n, t in KNOWN)
+    digests = ", ".join(f"('{n}', '{d}')" for n, d in KNOWN_DIGESTS)
     return f"""
-WITH known AS (SELECT {_canonical_sql('t')} AS canon, min(license) AS license FROM (VALUES {rows}) k(license, t) GROUP BY 1),
+WITH known AS (
+  SELECT digest, min(license) AS license
+  FROM (SELECT license, sha256({_canonical_sql('t')}) AS digest FROM (VALUES {rows}) k(license, t) UNION ALL SELECT * FROM (VALUES {digests}) d(license, digest))
+  GROUP BY 1
+),
 units AS (
   SELECT doc_id, true AS whole, coalesce(text, '') AS unit FROM documents
   UNION ALL SELECT doc_id, false, unnest(string_split(text, chr(10))) FROM documents
@@ -96,7 +105,7 @@ units AS (
   SELECT doc_id, min(CASE WHEN whole THEN license END) AS license,
          string_agg(DISTINCT license, ',' ORDER BY license) FILTER (WHERE NOT whole) AS notices,
          count(*) FILTER (WHERE NOT whole) AS n_notices
-  FROM (SELECT doc_id, whole, {_canonical_sql('unit')} AS canon FROM units WHERE regexp_matches(unit, '{STEM}')) JOIN known USING (canon)
+  FROM (SELECT doc_id, whole, sha256({_canonical_sql('unit')}) AS digest FROM units WHERE regexp_matches(unit, '{STEM}')) JOIN known USING (digest)
   GROUP BY doc_id
 )
 SELECT d.doc_id, f.license, coalesce(f.notices, '') AS notices, coalesce(f.n_notices, 0)::BIGINT AS n_notices

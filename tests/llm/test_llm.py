@@ -251,6 +251,23 @@ def test_licenses(spark, edges):
     assert license_scan.license_scan(edges).count() == len(EDGES) and license_scan.license_scan(edges.limit(0)).count() == 0
 
 
+def test_licenses_by_digest(spark):
+    folder = "/usr/share/common-licenses"
+    if not os.path.isfile(f"{folder}/GPL-3"):
+        pytest.skip("no licence texts here")
+    text = lambda name: open(f"{folder}/{name}", encoding="utf-8").read()
+    gpl = text("GPL-3")
+    d = docs(spark, gpl, gpl[: gpl.index("END OF TERMS")], text("Apache-2.0").upper(), text("MPL-2.0"), gpl + "\nmore", gpl, ids=[0, 1, 2, 3, 4, 0])
+    got = sorted((r.doc_id, r.license or "") for r in license_scan.license_scan(d).collect())
+    assert got == [(0, "GPL-3.0"), (0, "GPL-3.0"), (1, "GPL-3.0"), (2, "Apache-2.0"), (3, "MPL-2.0"), (4, "")]
+
+
+def test_licenses_of_a_hot_notice(spark):
+    d = docs(spark, *["Licensed under CC BY 4.0.\n" * (i % 3) + "text" for i in range(300)], ids=[i // 2 for i in range(300)])
+    got = Counter((r.doc_id, r.notices, r.n_notices) for r in license_scan.license_scan(d).collect())
+    assert got == Counter((i // 2, "CC-BY-4.0" if i % 3 else "", i % 3) for i in range(300))
+
+
 # ---- quality ----
 def test_ordinal_thresholds_are_ordered_and_learn():
     rng = np.random.default_rng(0)

@@ -7,18 +7,22 @@ words of a window are averaged into a linear softmax of two classes. A text is s
 out by what surrounds it. Training is joint over embeddings and softmax, in numpy, with Adagrad: each pass picks the
 worst window of every training text under the present model, as only texts are labelled.
 
+The first ``WHOLE`` passes, which know no windows yet, take each text as one bag.
+
 The model learns on a bounded sample of labelled rows: ``MAX_TRAIN`` toxic and
-``MAX_CLEAN`` others, in hash order. Their texts are read whole, as in scoring.
+``MAX_CLEAN`` others, in hash order. Their texts are read whole, as in scoring. The driver holds them as word numbers,
+and of each distinct word the numbers of its n-grams.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from termloom.functions.shared import staged
 from termloom.llm.common import fold, narrow, table
 
 BUCKETS = 1 << 17
@@ -28,7 +32,10 @@ WINDOW = 16
 LONGEST = 200
 #: Bounds of the training sample.
 MAX_TRAIN, MAX_CLEAN = 1500, 4000
-PASSES, WHOLE, FIRST_BAG = 12, 4, 256
+PASSES, WHOLE = 12, 4
+BATCH = 64
+#: Words whose n-grams are worked out at once.
+CHUNK_WORDS = 4096
 SEED = 20240607
 
 
@@ -69,6 +76,17 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def gram_lists(index: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all words, one word after another, and their number for each word."""
+    names, buckets, counts = list(index), [], []
+    for lo in range(0, len(names), CHUNK_WORDS):
+        part = names[lo : lo + CHUNK_WORDS]
+        bucket, owner = subwords(part)
+        buckets.append(bucket[np.argsort(owner, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(owner, minlength=len(part)))
+    return np.concatenate(buckets), np.concatenate(counts)
+
+
 class SubwordSoftmax:
     """Embeddings ``e`` (buckets x dim), softmax weights ``w`` (dim x 2) and bias ``b``."""
 
@@ -79,56 +97,51 @@ class SubwordSoftmax:
         self.w[:, 1] = rng.normal(0, 0.5, DIM)
         self.b = np.zeros(2, np.float32)
 
-    def fit(self, texts: list[list[str]], labels: list[int], passes: int = PASSES, rate: float = 0.25) -> "SubwordSoftmax":
-        index = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
+    def fit(self, texts: Iterable[list[str]], labels: list[int], passes: int = PASSES, rate: float = 0.25) -> "SubwordSoftmax":
+        """``texts``: the words of each text, which may come one by one. Without two labels or any word: the bias alone."""
+        index: dict[str, int] = {}
+        ids = [np.array([index.setdefault(w, len(index)) for w in t], np.int32) for t in texts]
         y = np.array(labels, np.int64)
         if not index or len(set(labels)) < 2:
             self.w[:] = 0
             p = (y.sum() + 0.5) / (len(y) + 1)
             self.b[1] = np.log(p / (1 - p))
             return self
-        bucket, owner = subwords(list(index))
-        count = np.bincount(owner, minlength=len(index)).astype(np.float32)
-        bucket, at = bucket[np.argsort(owner, kind="stable")].astype(np.int32), np.r_[0, np.cumsum(count.astype(np.int64))]
-        del owner
-        ids = [np.array([index[w] for w in t], np.int32) for t in texts]
+        bucket, count = gram_lists(index)
+        at = np.r_[0, np.cumsum(count)]
         share = np.bincount(y, minlength=2)
         cost = (len(y) / (2 * np.maximum(share, 1)))[y]
         ge, gw, gb = np.full(BUCKETS, 1e-6, np.float32), np.full(self.w.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
         rng = np.random.default_rng(SEED + 1)
-        some = lambda x: x if len(x) <= FIRST_BAG else rng.choice(x, FIRST_BAG, replace=False)
+        summed = lambda to, x, n: np.stack([np.bincount(to, x[:, d], n) for d in range(DIM)], 1).astype(np.float32)
         for turn in range(passes):
             one = np.add.reduceat(self.table()[0][bucket], at[:-1]) / count
             picks = []
             for k, t in enumerate(ids):
                 if not len(t):
                     continue
-                s = window_means(one[t])
-                if turn < WHOLE:  # nothing is known yet: the bag is drawn from the whole text
+                if turn < WHOLE:
                     picks.append((k, -1))
-                else:
-                    worst = s.argsort()[::-1][: 1 if y[k] else 2]
-                    picks += [(k, int(i)) for i in worst]
-                    if not y[k]:
-                        picks.append((k, int(rng.integers(len(s)))))
+                    continue
+                s = window_means(one[t])
+                picks += [(k, int(i)) for i in s.argsort()[::-1][: 1 if y[k] else 2]]
+                if not y[k]:
+                    picks.append((k, int(rng.integers(len(s)))))
             rng.shuffle(picks)
-            for lo in range(0, len(picks), 64):
-                part = picks[lo : lo + 64]
-                bags = [some(ids[k]) if i < 0 else ids[k][window_slice(len(ids[k]), i)] for k, i in part]
+            for lo in range(0, len(picks), BATCH):
+                part = picks[lo : lo + BATCH]
+                which = [k for k, _ in part]
+                bags = [ids[k] if i < 0 else ids[k][window_slice(len(ids[k]), i)] for k, i in part]
                 size = np.array([len(b) for b in bags], np.int64)
-                bag = np.repeat(np.arange(len(part)), size)
-                slots = np.maximum(size, WINDOW).astype(np.float32)  # a shorter bag has empty slots
                 flat = np.concatenate(bags)
-                spans = [bucket[at[w] : at[w + 1]] for w in flat]
-                rows = np.concatenate(spans)
-                row_bag = np.repeat(bag, count[flat].astype(np.int64))
-                row_weight = np.repeat(1 / (count[flat] * slots[bag]), count[flat].astype(np.int64)).astype(np.float32)
-                x = np.zeros((len(part), DIM), np.float32)
-                np.add.at(x, row_bag, self.e[rows] * row_weight[:, None])
+                slots = np.repeat(np.maximum(size, WINDOW), size)  # a shorter bag has empty slots
+                rows = np.concatenate([bucket[at[w] : at[w + 1]] for w in flat])
+                row_bag = np.repeat(np.repeat(np.arange(len(part)), size), count[flat])
+                row_weight = np.repeat(1 / (count[flat] * slots), count[flat]).astype(np.float32)[:, None]
+                x = summed(row_bag, self.e[rows] * row_weight, len(part))
                 z = x @ self.w + self.b
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
-                which = [k for k, _ in part]
                 p[np.arange(len(part)), y[which]] -= 1
                 g = (p * cost[which][:, None]).astype(np.float32)
                 dw, db, dx = x.T @ g, g.sum(0), g @ self.w.T
@@ -137,8 +150,7 @@ class SubwordSoftmax:
                 self.w -= rate * dw / np.sqrt(gw)
                 self.b -= rate * db / np.sqrt(gb)
                 hit, back = np.unique(rows, return_inverse=True)
-                de = np.zeros((len(hit), DIM), np.float32)
-                np.add.at(de, back, dx[row_bag] * row_weight[:, None])
+                de = summed(back, dx[row_bag] * row_weight, len(hit))
                 ge[hit] += (de**2).mean(1)
                 self.e[hit] -= rate * de / np.sqrt(ge[hit])[:, None]
         return self
@@ -174,7 +186,10 @@ def score_texts(texts: list[str | None], adds: np.ndarray, bias: float) -> np.nd
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_fold: int = 0) -> SubwordSoftmax:
-    """A model of the labelled rows outside fold ``held_fold``; rows without id or label are left out, of repeated ids each label counts."""
+    """A model of the labelled rows outside fold ``held_fold``; rows without id or label are left out.
+
+    Of repeated ids each label and each text counts, within the sample's bounds, which hold for rows of ``docs``, too.
+    """
     marked = narrow(labels, _id=id_col, _y=label_col).where("_id is not null and _y in (0, 1)").where(fold("_id", folds) != held_fold).distinct()
     order = [F.xxhash64(F.lit(3), "_id"), F.col("_id"), F.col("_y")]
     sample = marked.where("_y = 1").orderBy(*order).limit(MAX_TRAIN).unionByName(marked.where("_y = 0").orderBy(*order).limit(MAX_CLEAN))
@@ -187,8 +202,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array(out, pa.string())], ["_id", "_y", "_t"])
 
     kind = dict(met.dtypes)["_id"]
-    rows = sorted(tuple(r) for r in met.mapInArrow(words, f"_id {kind}, _y long, _t string").collect())
-    return SubwordSoftmax().fit([r[2].split() for r in rows], [int(r[1]) for r in rows])
+    split = staged(met.mapInArrow(words, f"_id {kind}, _y long, _t string"), "toxicity-sample")
+    by_text = [*order, F.xxhash64("_t"), F.col("_t")]
+    rows = [tuple(r) for y, most in ((1, MAX_TRAIN), (0, MAX_CLEAN)) for r in split.where(F.col("_y") == y).orderBy(*by_text).limit(most).collect()]
+    return SubwordSoftmax().fit((r[2].split() for r in rows), [int(r[1]) for r in rows])
 
 
 def score(docs: DataFrame, model: SubwordSoftmax, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

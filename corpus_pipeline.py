@@ -34,7 +34,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row stays; rows of sources below their weight are there more than once."""
+    """Every row stays, in the order of the schedule; rows of sources below their weight are there more than once."""
     return mixing.mixed(docs.select(*COLUMNS))
 
 

@@ -24,6 +24,10 @@ from termloom.llm.common import narrow, table
 #: Slots in a period, where sources are fewer than a quarter of that.
 PERIOD = 4096
 BLOCK = 8
+#: The driver plans a period of at least four slots for each source; more sources than this are an error.
+MAX_SOURCES = 1 << 16
+#: Epochs of a row that are made at once.
+SPREAD = 4096
 #: Target weights are the sources' sizes to this power, where none are given.
 TEMPER = 0.8
 
@@ -63,21 +67,15 @@ def pfair_period(shares: dict) -> dict:
     return slots
 
 
-def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, temper: float = TEMPER) -> DataFrame:
-    """The schedule: ``(_id, _source, epoch, block, slot, position)``, a row for each time that a row of ``docs`` is taken.
-
-    ``position`` numbers the output: slot x block + place in the block; the last slots' blocks may be partly filled
-    only at the end of the schedule. ``weights``: of the sources; those it lacks get none of the others' share but the
-    least one (no source is dropped). A null source is a source like any; null ids and repeated rows are rows like any
-    (ties in the order of hash and id may fall either way between equal rows); an empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    rows = narrow(docs, _id=id_col, _source=source_col)
+def _scheduled(rows: DataFrame, weights: dict | None, block: int, temper: float) -> tuple[DataFrame, int]:
+    """``rows (_id, _source, ..)``, each as often as it is taken, with epoch, block, slot and position; and their number."""
+    spark = rows.sparkSession
     parts = shuffle_width(spark)
+    order = [F.col("_source").asc_nulls_first(), F.col("_h"), F.col("_id")]
     numbered = staged(
         rows.withColumn("_h", F.xxhash64("_id", "_source"))
-        .repartitionByRange(parts, F.col("_source").asc_nulls_first(), "_h", "_id")
-        .sortWithinPartitions(F.col("_source").asc_nulls_first(), "_h", "_id")
+        .repartitionByRange(parts, *order)
+        .sortWithinPartitions(*order)
         .withColumn("_m", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_m", 33)),
         "mix-order",
@@ -85,47 +83,63 @@ def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", so
     counts = numbered.groupBy("_source", "_part").agg(F.count("*").alias("n"), F.min("_m").alias("first"))
     before = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = staged(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")), "mix-offsets")
-    sizes = {r["_source"]: r["n"] for r in offsets.groupBy("_source").agg(F.sum("n").alias("n")).collect()}  # one row a source
-    schema = "_id {}, _source {}, epoch int, block long, slot long, position long".format(*(dict(rows.dtypes)[c] for c in ("_id", "_source")))
-    if not sizes:
-        return spark.createDataFrame([], schema)
+    sizes = {r["_source"]: r["n"] for r in offsets.groupBy("_source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()}  # one row a source
+    if len(sizes) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: name coarser ones")
     target = {k: n**temper for k, n in sizes.items()} if weights is None else {k: max(weights.get(k, 0.0), 1e-12) for k in sizes}
-    shares = whole_weights(target, max(PERIOD, 4 * len(sizes)))
-    period = sum(shares.values())
+    shares = whole_weights(target, max(PERIOD, 4 * len(sizes))) if sizes else {}
+    period = max(sum(shares.values()), 1)
     slots = pfair_period(shares)
     at = lambda k, j: j // shares[k] * period + slots[k][j % shares[k]]
-    end = max(at(k, (n - 1) // block) for k, n in sizes.items()) + 1
+    end = max((at(k, (n - 1) // block) for k, n in sizes.items()), default=-1) + 1
     had = lambda k: end // period * shares[k] + sum(s < end % period for s in slots[k])  # noqa: E731  blocks before the end
     source_kind = dict(rows.dtypes)["_source"]
     plan = spark.createDataFrame(
         [(k, n, shares[k], had(k) * block, slots[k]) for k, n in sizes.items()],
-        f"_source {source_kind}, size long, share long, takes long, slots array<int>",
+        f"_ps {source_kind}, size long, share long, takes long, slots array<int>",
     )  # a row a source, with ``period`` slots in all
+    base = offsets.select(F.col("_source").alias("_os"), F.col("_part").alias("_op"), "base")
     ranked = (
-        numbered.join(F.broadcast(offsets.select(F.col("_source").alias("_os"), F.col("_part").alias("_op"), "base")), F.col("_source").eqNullSafe(F.col("_os")) & (F.col("_part") == F.col("_op")))
-        .join(F.broadcast(plan.withColumnRenamed("_source", "_ps")), F.col("_source").eqNullSafe(F.col("_ps")))
-        .withColumn("rank", F.col("_m") + F.col("base"))
-    )  # offsets: at most a row for each partition and source, since a partition boundary adds one
-    taken = ranked.withColumn(
-        "epoch", F.explode(F.expr("sequence(0, int(greatest(0, (takes - 1 - rank) div size)))"))
-    ).withColumn("_g", F.col("epoch") * F.col("size") + F.col("rank"))
-    blocked = taken.where("_g < takes").withColumn("block", F.expr(f"_g div {block}"))
+        numbered.join(F.broadcast(base), F.col("_source").eqNullSafe(F.col("_os")) & (F.col("_part") == F.col("_op")))
+        .join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("_ps")))
+        .withColumn("_rank", F.col("_m") + F.col("base"))
+    )  # base: at most a row for each partition and source, since a partition boundary adds one
+    last = "greatest(0L, (takes - 1 - _rank) div size)"  # of the epochs; a row of a small source may have very many
+    epochs = ranked.withColumn("_many", F.explode(F.expr(f"sequence(0L, {last} div {SPREAD})"))).withColumn(
+        "epoch", F.explode(F.expr(f"sequence(_many * {SPREAD}, least({last}, _many * {SPREAD} + {SPREAD - 1}))"))
+    )
+    blocked = epochs.withColumn("_g", F.expr("epoch * size + _rank")).where("_g < takes").withColumn("block", F.expr(f"_g div {block}"))
     slotted = blocked.withColumn("slot", F.expr(f"(block div share) * {period} + slots[int(block % share)]"))
-    return slotted.select("_id", "_source", F.col("epoch").cast("int").alias("epoch"), "block", "slot", F.expr(f"slot * {block} + _g % {block}").alias("position"))
+    return slotted.withColumn("position", F.expr(f"slot * {block} + _g % {block}")), end * block
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the schedule takes it, with its columns as they are.
+def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, temper: float = TEMPER) -> DataFrame:
+    """The schedule: ``(_id, _source, epoch, block, slot, position)``, a row for each time that a row of ``docs`` is taken.
+
+    ``position`` numbers the output without a gap: slot x block + place in the block. ``weights``: of the sources; those it
+    lacks get none of the others' share but the least one, and so do weights below one slot of a period (no source is
+    dropped). A null source is a source like any; null ids and repeated rows are rows like any
+    (ties in the order of hash and id may fall either way between equal rows); an empty table gives no rows. More than
+    ``MAX_SOURCES`` sources are an error, since the driver plans the period.
+    """
+    out, _ = _scheduled(narrow(docs, _id=id_col, _source=source_col), weights, block, temper)
+    return out.select("_id", "_source", F.col("epoch").cast("int").alias("epoch"), "block", "slot", "position")
 
-    Ids must tell rows apart for this; repeated rows are taken as often as all of their copies together are.
+
+def mixed(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, temper: float = TEMPER) -> DataFrame:
+    """The rows of ``docs``, each as often as the schedule takes it, in the schedule's order, with its columns as they are.
+
+    Rows come in partitions that follow one another in the schedule, each in its order, so that a written table's files
+    hold the sources interleaved. Rows are told apart by themselves: equal ids, sources or whole rows make no difference.
+    Columns pass through whatever their names. Nulls and empty tables: see :func:`mix`.
     """
-    id_col = options.get("id_col", "doc_id")
-    times = mix(docs, **options).groupBy("_id").agg(F.count("*").cast("int").alias("_times"))
-    copies = narrow(docs, _cid=id_col).groupBy("_cid").agg(F.count("*").cast("int").alias("_copies"))
-    per = times.join(copies, F.col("_id").eqNullSafe(F.col("_cid"))).select("_id", F.expr("_times div _copies").cast("int").alias("_each"))
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_key"))  # where no name can clash
-    met = own.join(per.hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("_id")))
-    return met.select("_row", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    own = docs.select(
+        F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("_source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    )
+    out, total = _scheduled(own, weights, block, temper)
+    parts = shuffle_width(docs.sparkSession)
+    dealt = out.select("position", "_row").repartitionById(parts, F.expr(f"cast(position * {parts} div {max(total, 1)} as int)"))
+    return dealt.sortWithinPartitions("position").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,16 @@
 """Quality rules with risk-controlled cutoffs.
 
-Each rule rejects a text whose value exceeds a cutoff. Cutoffs come from labelled holdouts: for every stratum, rule and
-candidate cutoff, of the ``n`` texts labelled good (and not failed by the base) ``k`` would be rejected. A candidate is
-admitted only if its false rejection is at most ``ALPHA`` by the exact binomial bound, P(X <= k | n, ALPHA) <= DELTA / m,
-where m is the number of all candidates in all strata (Bonferroni), so that with probability 1 - DELTA every admitted
-cutoff of every stratum keeps its promise and any choice among them may be made after the fact: the one that rejects
-most labelled bad texts, a good one counted ``WEIGHT`` times. Strata, rules and candidates are fixed beforehand; counts
-are over all labelled rows. Everything is DataFrame expressions; the binomial sum is taken from its largest term down.
+Each rule rejects a text whose value exceeds a cutoff; a text is rejected if any rule of its stratum does. What is bounded
+is the false rejection of that verdict: the share of good texts (labelled good, not failed by the base) that it rejects.
+
+Labelled holdouts are parted in two halves by a hash of their id. The first half proposes: for each stratum and rule the
+candidate cutoff that rejects most labelled bad texts, a good one counted ``WEIGHT`` times, and the rules in the order of
+that gain. The second half, which had no say in this, tests: the first rule alone, then the first two together, and so
+on. Of ``n`` good texts ``k`` are rejected by the rules so far; they are admitted only if the exact binomial bound says
+that their false rejection is at most ``ALPHA``: P(X <= k | n, ALPHA) <= DELTA / strata (Bonferroni over the strata;
+tests in a fixed order that ends with the first failure need no correction among themselves). So with probability 1 -
+DELTA the verdict of every stratum keeps its promise. Counts are over all labelled rows. Everything is DataFrame
+expressions; the binomial sum is taken from its largest term down.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from termloom.functions.shared import staged
 from termloom.llm.common import narrow, table
 
-ALPHA, DELTA, WEIGHT = 0.01, 0.05, 10
+ALPHA, DELTA, WEIGHT = 0.05, 0.05, 10
 STRATA = ("en", "de", "fr", "es")
 #: Rule, value, candidate cutoffs.
 RULES = (
@@ -96,27 +100,39 @@ def binomial_tail(k: str, n: str, p: float) -> str:
     return f"case when {k} >= {n} * {p!r}D then 1D else exp({log_top}) * {total} end"
 
 
+def first_half(id_col: str) -> Column:
+    """Whether a labelled row proposes cutoffs (else it tests them)."""
+    return F.substring(F.md5(F.col(id_col).cast("string")), 1, 1) < "8"
+
+
 def choose_cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """``(stratum, rule, cutoff, n, k, bad)``: at most one row for each stratum and rule.
+    """``(stratum, n_rules, n, k, _c_<rule>..)``: the cutoffs admitted in a stratum, null for rules that aren't; no row without any.
 
     Labels other than 0 and 1 and null ids are left out; a row repeated in the labels counts once. Without labelled
     rows enough in a stratum no cutoff is admitted, and its rules reject nothing.
     """
     marked = narrow(labels, _lid=id_col, _y=label_col).where("_lid is not null and _y in (0, 1)").distinct()
-    held = measured.where(~F.col("base_failed")).join(marked, F.col("_id") == F.col("_lid"))
-    rules = F.array(
-        *[F.struct(F.lit(r).alias("rule"), F.expr(f"cast({v} as double)").alias("value"), F.array(*map(F.lit, c)).alias("cuts")) for r, v, c in RULES]
+    values = [F.expr(f"cast({v} as double)").alias(f"_v_{r}") for r, v, _ in RULES]
+    held = staged(
+        measured.where(~F.col("base_failed")).join(marked, F.col("_id") == F.col("_lid")).select("stratum", "_y", first_half("_id").alias("_first"), *values), "quality-held"
     )
-    long = held.select("stratum", "_y", F.inline(rules)).select("stratum", "_y", "rule", "value", F.explode("cuts").alias("cutoff"))
-    counts = long.groupBy("stratum", "rule", "cutoff").agg(
-        F.sum("_y").cast("long").alias("n"),
-        F.sum(F.when((F.col("_y") == 1) & (F.col("value") > F.col("cutoff")), 1).otherwise(0)).cast("long").alias("k"),
-        F.sum(F.when((F.col("_y") == 0) & (F.col("value") > F.col("cutoff")), 1).otherwise(0)).cast("long").alias("bad"),
+    rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"_v_{r}").alias("value"), F.array(*map(F.lit, c)).alias("cuts")) for r, _, c in RULES])
+    long = held.where("_first").select("stratum", "_y", F.inline(rules)).select("stratum", "_y", "rule", "value", F.explode("cuts").alias("cutoff"))
+    over = F.col("value") > F.col("cutoff")
+    gain = (F.count_if(over & (F.col("_y") == 0)) - WEIGHT * F.count_if(over & (F.col("_y") == 1))).alias("gain")
+    gains = long.groupBy("stratum", "rule", "cutoff").agg(gain).where("gain > 0")
+    best = gains.groupBy("stratum", "rule").agg(F.max(F.struct("gain", "cutoff")).alias("b")).select("stratum", "rule", "b.*")
+    ordered = best.groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct((-F.col("gain")).alias("loss"), "rule", "cutoff"))).alias("rules"))  # six rules at most
+    prefixes = ordered.select("stratum", "rules", F.explode(F.sequence(F.lit(1), F.size("rules"))).alias("n_rules")).select(
+        "stratum", "n_rules", *[F.expr(f"get(filter(slice(rules, 1, n_rules), x -> x.rule = '{r}'), 0).cutoff").alias(f"_c_{r}") for r, *_ in RULES]
     )
-    tests = (len(STRATA) + 1) * sum(len(c) for *_, c in RULES)
-    admitted = counts.where(F.expr(binomial_tail("k", "n", ALPHA)) <= DELTA / tests).where(f"bad > {WEIGHT} * k")
-    best = F.max_by(F.struct("cutoff", "n", "k", "bad"), F.struct(F.expr(f"bad - {WEIGHT} * k"), F.col("cutoff"))).alias("b")
-    return admitted.groupBy("stratum", "rule").agg(best).select("stratum", "rule", "b.*")
+    rejects = F.expr(" or ".join(f"coalesce(_v_{r} > _c_{r}, false)" for r, *_ in RULES))
+    good = held.where("not _first and _y = 1").join(F.broadcast(prefixes), "stratum")  # five strata, six prefixes each at most
+    counts = good.groupBy(*prefixes.columns).agg(F.count("*").alias("n"), F.count_if(rejects).alias("k"))
+    admitted = counts.where(F.expr(binomial_tail("k", "n", ALPHA)) <= DELTA / (len(STRATA) + 1))
+    cuts = [c for c in prefixes.columns if c.startswith("_c_")]
+    last = F.max(F.struct("n_rules", "n", "k", *cuts)).alias("b")  # k doesn't fall from prefix to prefix, so those before it passed
+    return admitted.groupBy("stratum").agg(last).select("stratum", "b.*")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -130,9 +146,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     measured = staged(
         text_measures(own.withColumn("stratum", stratum), "_i", "_x", "stratum").withColumn("base_failed", base_failed()), "quality-measures"
     )
-    cuts = choose_cutoffs(measured, labels, id_col)
-    wide = cuts.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_c_{r}") for r, *_ in RULES])
-    met = measured.join(F.broadcast(wide), "stratum", "left")  # five rows at most
+    met = measured.join(F.broadcast(choose_cutoffs(measured, labels, id_col).drop("n", "k", "n_rules")), "stratum", "left")  # five rows at most
     passed = F.expr(" and ".join(f"coalesce(cast({v} as double) <= _c_{r}, true)" for r, v, _ in RULES))
     return met.withColumn("kept", ~F.col("base_failed") & passed).withColumnRenamed("_id", "doc_id")
 
@@ -143,11 +157,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    tests = (len(STRATA) + 1) * sum(len(c) for *_, c in RULES)
     value = lambda v: v.replace("1L", "1")
     candidates = ", ".join(f"('{r}', {c!r}::DOUBLE)" for r, _, cs in RULES for c in cs)
     values = "CASE c.rule " + " ".join(f"WHEN '{r}' THEN ({value(v)})::DOUBLE" for r, v, _ in RULES) + " END"
-    passed = " AND ".join(f"coalesce(({value(v)})::DOUBLE <= (SELECT cutoff FROM best b WHERE b.stratum = m.stratum AND b.rule = '{r}'), true)" for r, v, _ in RULES)
     return f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({', '.join(f"'{x}'" for x in STRATA)}) THEN lang ELSE 'other' END AS stratum
@@ -170,22 +182,29 @@ WITH d AS (
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
          len(ws) < 10 OR 100 * coalesce(r.n, 0) > 20 * len(ws) AS base_failed
   FROM w LEFT JOIN r USING (doc_id)
-), counts AS (
-  SELECT m.stratum, c.rule, c.cutoff, sum(l.quality) AS n,
-         count(*) FILTER (WHERE l.quality = 1 AND {values} > c.cutoff) AS k,
-         count(*) FILTER (WHERE l.quality = 0 AND {values} > c.cutoff) AS bad
-  FROM m JOIN labels l ON m.doc_id = l.doc_id AND NOT m.base_failed AND l.quality IN (0, 1),
-       (VALUES {candidates}) c(rule, cutoff)
-  GROUP BY ALL
-), tail AS (
-  SELECT c.*, CASE WHEN k >= n * {ALPHA} THEN 1.0 ELSE
-    list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA})) for j in generate_series(0, k)]) END AS p
-  FROM counts c
-), best AS (
-  SELECT stratum, rule, arg_max(cutoff, struct_pack(a := bad - {WEIGHT} * k, b := cutoff)) AS cutoff
-  FROM tail WHERE p <= {DELTA / tests!r} AND bad > {WEIGHT} * k GROUP BY stratum, rule
+), held AS (
+  SELECT m.*, l.quality, left(md5(m.doc_id::VARCHAR), 1) < '8' AS first_half
+  FROM m JOIN (SELECT DISTINCT doc_id, quality FROM labels) l ON m.doc_id = l.doc_id AND NOT m.base_failed AND l.quality IN (0, 1)
+), gains AS (
+  SELECT stratum, c.rule, c.cutoff, count(*) FILTER (WHERE quality = 0 AND {values} > c.cutoff) - {WEIGHT} * count(*) FILTER (WHERE quality = 1 AND {values} > c.cutoff) AS gain
+  FROM held, (VALUES {candidates}) c(rule, cutoff) WHERE first_half GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY gain DESC, rule) AS place
+  FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, cutoff DESC) AS r FROM gains WHERE gain > 0) WHERE r = 1
+), fate AS (
+  SELECT h.stratum, h.doc_id, p.place AS n_rules, bool_or({values} > c.cutoff) AS rejected
+  FROM held h JOIN ranked p ON p.stratum = h.stratum JOIN ranked c ON c.stratum = h.stratum AND c.place <= p.place
+  WHERE NOT h.first_half AND h.quality = 1 GROUP BY ALL
+), tests AS (
+  SELECT stratum, n_rules, count(*) AS n, count(*) FILTER (WHERE rejected) AS k FROM fate GROUP BY ALL
+), deployed AS (
+  SELECT stratum, max(n_rules) AS n_rules FROM tests
+  WHERE k < n * {ALPHA} AND list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA})) for j in generate_series(0, k)]) <= {DELTA / (len(STRATA) + 1)!r}
+  GROUP BY stratum
+), rejected AS (
+  SELECT DISTINCT m.doc_id FROM m JOIN deployed USING (stratum) JOIN ranked c ON c.stratum = m.stratum AND c.place <= n_rules WHERE {values} > c.cutoff
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND {passed}) AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
 FROM m
 """
 

@@ -24,10 +24,36 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
 
+#: What sets words and punctuation apart, in turn, as treebanks part them: pattern and replacement.
+WORD_STEPS = (
+    (r"``|''|\"", ' " '),  # quotes of all kinds are one token
+    (r"([:,])([^0-9])", r" $1 $2"),
+    (r"\.{2,}", " $0 "),
+    (r"[;@#$%&?!*]", " $0 "),
+    (r"([^.])(\.)([\])}>\"' ]*)$", "$1 $2 $3 "),
+    (r"[\[\](){}<>]", " $0 "),
+    (r"--", " -- "),
+    (r"([^' ])('[sSmMdD]|'ll|'LL|'re|'RE|'ve|'VE|n't|N'T|') ", "$1 $2 "),
+    (r"(?i)\b(can)(not)\b", "$1 $2"),
+    (r"(?i)\b(gim|lem)(me)\b", "$1 $2"),
+    (r"(?i)\b(gon|wan)(na)\b", "$1 $2"),
+    (r"(?i)\b(got)(ta)\b", "$1 $2"),
+    (r"(?i)\b(d)('ye)\b", "$1 $2"),
+    (r"(?i)\b(more)('n)\b", "$1 $2"),
+    (r"(?i) ('t)(is|was)\b", " $1 $2"),
+)
+
+
 def word_tokens(c: Column) -> Column:
-    """Words with punctuation set apart, so ``blood (whole), 48h`` gives ``blood ( whole ) , 48h``; final stops too."""
-    spaced = F.regexp_replace(c, r"([\[\](){}<>,;:@#$%&?!\"])", r" $1 ")
-    return words(F.regexp_replace(spaced, r"\.\s*$", " ."))
+    """Words with punctuation, quotes, dashes, ellipses and contractions set apart.
+
+    ``blood (whole), 48h`` gives ``blood ( whole ) , 48h``; ``don't`` gives ``do n't``. A comma or colon stays before a
+    digit. A stop is set apart at the text's end only, since no model of sentences is at hand.
+    """
+    out = F.concat(F.lit(" "), F.regexp_replace(c, r"\s", " "), F.lit(" "))
+    for pattern, to in WORD_STEPS:
+        out = F.regexp_replace(out, pattern, to)
+    return words(out)
 
 
 def alnum_core(c: Column) -> Column:
@@ -38,7 +64,7 @@ def alnum_core(c: Column) -> Column:
 def uncapitalize(c: Column) -> Column:
     """Words that have only their first letter in upper case get it in lower case; words of one letter stay; blanks collapse."""
     return F.array_join(
-        F.transform(words(c), lambda w: F.when(w.rlike("^[A-Z].") & ~F.substring(w, 2, 1_000_000).rlike("[A-Z]"), F.concat(F.lower(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))).otherwise(w)),
+        F.transform(words(c), lambda w: F.when(w.rlike("^[A-Z][^A-Z]+$"), F.concat(F.lower(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))).otherwise(w)),
         " ",
     )
 

@@ -158,6 +158,12 @@ def features(grams: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     return out.unionByName(terms.select("sample_id", F.concat(F.lit(TERM_MARK), "term_id").alias("gram")).distinct())
 
 
+def feature_counts(grams: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``(sample_id, gram, n)``: what is not zero of each sample's vector over the features ``chosen (gram)``: words by count, terms by presence."""
+    n = F.when(F.startswith("gram", F.lit(TERM_MARK)), F.lit(1)).otherwise(F.count("*")).cast("long")
+    return grams.join(chosen.select("gram").distinct(), "gram", "left_semi").groupBy("sample_id", "gram").agg(n.alias("n"))
+
+
 class OneVsRest:
     """A binary L1 logistic regression for each class over the same selected features."""
 

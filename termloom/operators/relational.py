@@ -139,6 +139,23 @@ def implications(a_names: DataFrame, b_names: DataFrame) -> DataFrame:
     return met.where(inside).select("b_id", "a_id").distinct()
 
 
+def subtract_links(links: DataFrame, known: DataFrame) -> DataFrame:
+    """``links (term_id, linked_id)`` without those of ``known``; a term whose every link is known has none left."""
+    return links.select("term_id", "linked_id").distinct().join(known.select("term_id", "linked_id").distinct(), ["term_id", "linked_id"], "left_anti")
+
+
+def without_bad_records(lines: DataFrame, key: str, text: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Records ``(key, record)`` that parse as JSON of ``schema``, and ``(key, text, reason)`` of those that don't, as a table of their own.
+
+    A bad record never fails its task. Nulls and texts that aren't an object are bad, too.
+    """
+    parsed = F.from_json(F.col(text), f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = lines.select(F.col(key).alias("key"), F.col(text).alias("text"), parsed.alias("record"))
+    reason = F.when(F.col("text").isNull(), "null").when(F.col("record").isNull() | ~F.trim("text").startswith("{"), "no object").when(F.col("record._bad").isNotNull(), "does not parse")
+    rows = rows.withColumn("reason", reason)
+    return rows.where("reason is null").select("key", F.col("record").dropFields("_bad").alias("record")), rows.where("reason is not null").select("key", "text", "reason")
+
+
 def enrich_synonyms(names: DataFrame, sets: DataFrame) -> DataFrame:
     """Members that a term lacks of the synonym sets ``(set_id, member)`` that one of its strings is in, as ``ENRICHED``."""
     mates = sets.join(sets.select("set_id", F.col("member").alias("mate")), "set_id")

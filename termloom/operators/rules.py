@@ -34,23 +34,40 @@ def contained(intervals: DataFrame) -> DataFrame:
     return one.withColumn("_far", F.max("end").over(w)).where("_far >= end").drop("_far")
 
 
+def _around(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """Each interval ``(.., start, end)`` with every larger one ``(s2, e2)`` of its keys that holds it.
+
+    An interval of length up to 2^k lies in at most two cells of that width, and one that holds another lies in the cell
+    of the other's start. So they meet on (cell width, cell): candidates grow with the pairs that hold one another, not
+    with the square of a value's matches.
+    """
+    level = F.expr("int(ceil(log2(greatest(`end` - start, 1))))")
+    sized = intervals.withColumn("_k", level).withColumn("_top", F.max("_k").over(Window.partitionBy(*keys)))
+    big = sized.select(*keys, "_k", F.col("start").alias("s2"), F.col("end").alias("e2"), F.explode(F.expr("array_distinct(array(shiftright(start, _k), shiftright(greatest(`end` - 1, start), _k)))")).alias("_cell"))
+    small = sized.select(*keys, "start", "end", F.explode(F.sequence("_k", "_top")).alias("_k")).withColumn("_cell", F.expr("shiftright(start, _k)"))
+    met = small.join(big, [*keys, "_k", "_cell"]).where("s2 <= start and e2 >= `end` and (s2 < start or e2 > `end`)")
+    return met.select(*keys, "start", "end", "s2", "e2")
+
+
 def drop_contained(matches: DataFrame, ancestors: DataFrame | None = None) -> DataFrame:
     """Matches whose interval isn't inside a larger matched one, or whose term is an ancestor of terms of all such intervals.
 
     ``ancestors (term_id, ancestor)``: without it no match inside another stays.
     """
     keys = [c for c in ("sample_id", "kv_key", "kv_value", "side") if c in matches.columns]
+    at = [*keys, "start", "end"]
     inside = contained(matches)
-    outer = matches.join(inside, [*keys, "start", "end"], "left_anti")
+    outer = matches.join(inside, at, "left_anti")
     if ancestors is None:
         return outer
-    inner = matches.join(inside, [*keys, "start", "end"], "left_semi").withColumn("_u", F.struct("start", "end"))
-    big = matches.select(*keys, F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("term_id").alias("t2")).distinct()
-    around = inner.join(big, keys).where("s2 <= start and e2 >= end and (s2 < start or e2 > end)")
-    reach = around.join(ancestors.withColumnRenamed("term_id", "t2"), "t2", "left").groupBy(*inner.columns).agg(
-        F.count_distinct("s2", "e2").alias("_all"), F.count_distinct(F.when(F.col("ancestor") == F.col("term_id"), F.struct("s2", "e2"))).alias("_some")
-    )
-    return outer.unionByName(reach.where("_all = _some").select(*matches.columns))
+    inner = matches.join(inside, at, "left_semi")
+    around = _around(matches.select(*at).distinct(), keys).join(inside, at, "left_semi")
+    n_around = around.groupBy(*at).agg(F.count("*").alias("_all"))
+    reached = matches.select(*keys, F.col("start").alias("s2"), F.col("end").alias("e2"), "term_id").distinct().join(ancestors, "term_id")
+    reached = reached.select(*keys, "s2", "e2", F.col("ancestor").alias("term_id")).distinct()
+    some = inner.select(*at, "term_id").distinct().join(around, at).join(reached, [*keys, "s2", "e2", "term_id"], "left_semi")
+    all_of = some.groupBy(*at, "term_id").agg(F.count("*").alias("_some")).join(n_around, at).where("_some = _all")
+    return outer.unionByName(inner.join(all_of, [*at, "term_id"], "left_semi").select(*matches.columns))
 
 
 def licensed(matches: DataFrame, blocked_terms: DataFrame, license_pairs: DataFrame) -> DataFrame:
@@ -75,13 +92,6 @@ def combinations(terms: DataFrame, artifacts: DataFrame, needs_terms: DataFrame,
     return met.where("coalesce(ha, 0) = coalesce(na, 0)").select("sample_id", "rule")
 
 
-def implied(terms: DataFrame, links: DataFrame) -> DataFrame:
-    """``(sample_id, term_id)``: the consequents ``links (term_id, implied_id)`` of a sample's terms, without those it has."""
-    return (
-        terms.join(links, "term_id").select("sample_id", F.col("implied_id").alias("term_id")).distinct().join(terms.select("sample_id", "term_id"), ["sample_id", "term_id"], "left_anti")
-    )
-
-
 def real_values(props: DataFrame, numbers: DataFrame, units: DataFrame, default_units: DataFrame) -> DataFrame:
     """``(sample_id, kv_key, kv_value, property_id, value, unit_id)`` for pairs whose key has exactly one property.
 
@@ -96,17 +106,12 @@ def real_values(props: DataFrame, numbers: DataFrame, units: DataFrame, default_
     return met.select(*pair, "property_id", "value", chosen.alias("unit_id"))
 
 
-def adult_terms(values: DataFrame, age: str = "EFO:0000246", year: str = "UO:0000036", above: float = 18, terms: tuple = ("EFO:0001272", "UBERON:0007023")) -> DataFrame:
-    """Terms of an adult for samples with an age in years above ``above``."""
-    return values.where((F.col("property_id") == age) & (F.col("unit_id") == year) & (F.col("value") > above)).select("sample_id", F.explode(F.array(*map(F.lit, terms))).alias("term_id")).distinct()
-
-
-def namespace_terms(terms: DataFrame, prefix: str = "CVCL", give: tuple = ("CL:0000010", "EFO_BTO:0000214")) -> DataFrame:
-    """Terms given to every sample that has a term of the id space ``prefix``."""
-    return terms.where(F.startswith("term_id", F.lit(prefix + ":"))).select("sample_id", F.explode(F.array(*map(F.lit, give))).alias("term_id")).distinct()
+def adult_terms(values: DataFrame, keep: tuple = ("sample_id",), age: str = "EFO:0000246", year: str = "UO:0000036", above: float = 18, terms: tuple = ("EFO:0001272", "UBERON:0007023")) -> DataFrame:
+    """``(keep, term_id)``: terms of an adult for rows with an age in years above ``above``."""
+    old = values.where((F.col("property_id") == age) & (F.col("unit_id") == year) & (F.col("value") > above))
+    return old.select(*keep, F.explode(F.array(*map(F.lit, terms))).alias("term_id")).distinct()
 
 
-def entity_facts(terms: DataFrame, fact_terms: DataFrame, fact_values: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Terms ``(fact_id, term_id)`` and values ``(fact_id, property_id, value, unit_id)`` known of a sample's terms."""
-    has = terms.select("sample_id", F.col("term_id").alias("fact_id")).distinct()
-    return has.join(fact_terms, "fact_id").select("sample_id", "term_id").distinct(), has.join(fact_values, "fact_id").select("sample_id", "property_id", "value", "unit_id").distinct()
+def namespace_terms(terms: DataFrame, keep: tuple = ("sample_id",), prefix: str = "CVCL", give: tuple = ("CL:0000010", "EFO_BTO:0000214")) -> DataFrame:
+    """``(keep, term_id)``: terms given for every term of the id space ``prefix``."""
+    return terms.where(F.startswith("term_id", F.lit(prefix + ":"))).select(*keep, F.explode(F.array(*map(F.lit, give))).alias("term_id")).distinct()

@@ -1,6 +1,6 @@
 """The annotation of samples: from key-value pairs to terms and real-valued properties, as one plan over tables.
 
-A :class:`Stage` maps a :class:`State` of DataFrames to another; :func:`annotate` runs the usual stages in their usual
+A ``Stage`` maps a :class:`State` of DataFrames to another; :func:`annotate` runs the usual stages in their usual
 order, which matters. Nothing runs sample by sample. Tokens and matches are written once each, where many stages read
 them. Rule tables that are left out do nothing.
 """
@@ -29,7 +29,6 @@ CONSEQUENTS = {
     "EFO:0000322": ["EFO_BTO:0000214", "CL:0000010"], "EFO:0007061": ["EFO_BTO:0000214", "CL:0000010"], "EFO:0000616": ["DOID:14566"],
 }
 TWO_CHARACTERS = {"H9": ["CVCL:9773", "EFO:0003045"], "H7": ["CVCL:9772", "EFO:0005904"]}
-AGE, YEAR, ADULT, CULTURED = "EFO:0000246", "UO:0000036", ("EFO:0001272", "UBERON:0007023"), ("CL:0000010", "EFO_BTO:0000214")
 CELL_LINE_KEYS = ("EFO:0000322", "EFO:0000324")
 TIME_KEYS = ("EFO:0000721", "EFO:0000724")
 
@@ -40,7 +39,10 @@ class Rules:
 
     filter_keys: list[str] = field(default_factory=list)
     filter_values: list[str] = field(default_factory=list)
+    cell_line_keys: list[str] = field(default_factory=list)  # a second block list, for collections of cell lines
+    cell_line_values: list[str] = field(default_factory=list)
     synonym_sets: DataFrame | None = None  # (set_id, member)
+    cell_line_synonyms: DataFrame | None = None  # (set_id, member), a second table of sets
     acronyms: dict[str, list[str]] = field(default_factory=dict)
     lexicon: tuple[DataFrame, DataFrame] | None = None  # forms, variants
     property_sets: DataFrame | None = None  # (property_id, set_id, member)
@@ -103,7 +105,8 @@ def _grow(s: State, name: str, new: DataFrame) -> State:
 
 
 def filter_pairs(s: State) -> State:
-    return replace(s, kv=K.block_pairs(s.kv, s.rules.filter_keys, s.rules.filter_values))
+    r = s.rules
+    return replace(s, kv=K.block_pairs(s.kv, [*r.filter_keys, *r.cell_line_keys], [*r.filter_values, *r.cell_line_values]))
 
 
 def start_tokens(s: State) -> State:
@@ -120,6 +123,8 @@ def spread_tokens(s: State) -> State:
         steps += [(kind, lambda t, kind=kind: K.lexicon_variants(t, *r.lexicon, [kind])) for kind in ("inflection", "spelling")]
     if r.synonym_sets is not None:
         steps.append(("synonym", lambda t: K.expand_sets(t, r.synonym_sets)))
+    if r.cell_line_synonyms is not None:
+        steps.append(("synonym of a cell line", lambda t: K.expand_sets(t, r.cell_line_synonyms)))
     if r.acronyms:
         steps.append(("acronym", lambda t: K.expand_map(t, _rows(s.spark, r.acronyms, "from_str string, to_str string"))))
     for name, f in steps:
@@ -223,7 +228,7 @@ def follow_links(s: State) -> State:
 
 
 def drop_inner(s: State) -> State:
-    s = replace(s, ancestors=s.ancestors if s.ancestors is not None else staged(G.closure(s.vocabulary.edges, s.matches.select("term_id").distinct()), "ancestors"))
+    s = replace(s, ancestors=s.ancestors if s.ancestors is not None else staged(G.closure_of_all(s.vocabulary.edges, s.matches.select("term_id").distinct()), "ancestors"))
     return replace(s, matches=staged(U.drop_contained(s.matches, s.ancestors), "matches"))
 
 
@@ -264,18 +269,19 @@ def follow_facts(s: State) -> State:
         more = known.join(fact_values.withColumnRenamed("fact_id", "term_id"), "term_id").withColumn("consequent", F.lit(True)).select(*s.values.columns).distinct()
         s = _infer(s, "fact of a cell line", fact_terms.select(F.col("fact_id").alias("term_id"), F.col("term_id").alias("implied_id")), True)
         s = replace(s, values=s.values.unionByName(more))
-    aged = s.values.where((F.col("property_id") == AGE) & (F.col("unit_id") == YEAR) & (F.col("value") > 18))
     here = F.concat_ws(" ", "property_id", "value", "unit_id").alias("node")
-    adults = aged.select(*PAIR, "side", "root", F.array(F.struct(F.lit("value").alias("step"), here)).alias("path"))
-    s = _imply(s, "adult by age", adults.withColumn("term_id", F.explode(F.array(*map(F.lit, ADULT)))), True)
-    lines = _nodes(s).where(F.startswith("term_id", F.lit("CVCL:")))
-    return _imply(s, "cultured cell", lines.withColumn("term_id", F.explode(F.array(*map(F.lit, CULTURED)))), True)
+    rows = (*PAIR, "side", "root", "path")
+    s = _imply(s, "adult by age", U.adult_terms(s.values.withColumn("path", F.array(F.struct(F.lit("value").alias("step"), here))), rows), True)
+    return _imply(s, "cultured cell", U.namespace_terms(_nodes(s), rows), True)
 
 
 def prefer_exact(s: State) -> State:
     return replace(s, matches=U.exact_over_fuzzy(s.matches))
 
 
+#: A stage maps a state to another.
+Stage = Callable[[State], State]
+
 STAGES: tuple[Stage, ...] = (
     filter_pairs, start_tokens, spread_tokens, match_exactly, more_tokens, match_two_characters, match_nearly, match_phrases, block_cell_lines, follow_links,
     drop_inner, follow_consequents, extract_values, prefer_direct, follow_facts, prefer_exact,
@@ -305,7 +311,7 @@ def annotate(spark: SparkSession, kv: DataFrame, vocabulary: Vocabulary, rules:
 
 def with_ancestors(mapped: DataFrame, edges: DataFrame) -> DataFrame:
     """``(sample_id, terms)``: sorted ids of the terms and all above them."""
-    up = G.closure(edges, mapped.select("term_id").distinct())
+    up = G.closure_of_all(edges, mapped.select("term_id").distinct())
     return mapped.join(up, "term_id").groupBy("sample_id").agg(F.sort_array(F.collect_set("ancestor")).alias("terms"))
 
 
@@ -313,4 +319,4 @@ def link_tables(names: DataFrame, edges: DataFrame, a_space: str, b_space: str)
     """``(term_id, linked_id)`` between two id spaces by equal strings, handed down to all terms below."""
     pick = lambda x: names.where(F.startswith("term_id", F.lit(x + ":")))
     links = R.linked_terms(pick(a_space), pick(b_space)).select(F.col("b_id").alias("term_id"), F.col("a_id").alias("linked_id"))
-    return R.superterm_links(G.closure(edges, names.select("term_id").distinct()), links)
+    return R.superterm_links(G.closure_of_all(edges, names.select("term_id").distinct()), links)

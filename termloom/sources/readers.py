@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 def _pairs(m: str) -> Column:
     """The entries of a parsed map; of equal keys the last counts, as JSON readers have it."""
-    return F.expr(f"filter(map_entries({m}), (e, i) -> not exists(slice(map_entries({m}), i + 2, size({m})), x -> x.key = e.key))")
+    placed = f"array_sort(transform(map_entries({m}), (e, i) -> named_struct('key', e.key, 'i', i, 'value', e.value)))"
+    last = f"filter({placed}, (e, i) -> not coalesce(get({placed}, i + 1).key = e.key, false))"
+    return F.expr(f"transform({last}, e -> named_struct('key', e.key, 'value', e.value))")
 
 
 def read_sample_list(spark: SparkSession, path: str) -> DataFrame:
@@ -27,27 +29,74 @@ def read_sample_map(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("m").alias("sample_id", "t")).select("sample_id", F.inline(_pairs("t")).alias("kv_key", "kv_value"))
 
 
+def read_sample_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(sample_id, kv_key, kv_value)`` of lines ``{"sample_id": .., "attributes": {..}}``: files of any size, read in parallel."""
+    rows = spark.read.text(path).select(F.from_json("value", "sample_id string, attributes map<string,string>").alias("r")).where("r.sample_id is not null")
+    return rows.select(F.col("r.sample_id").alias("sample_id"), F.col("r.attributes").alias("t")).select("sample_id", F.inline(_pairs("t")).alias("kv_key", "kv_value"))
+
+
 def read_work_list(spark: SparkSession, path: str) -> DataFrame:
     """``(sample_id)`` of JSON with the list ``sample_accessions``."""
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "sample_accessions array<string>").alias("r"))
     return raw.select(F.explode("r.sample_accessions").alias("sample_id"))
 
 
-def gather_outputs(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Good records of a folder of JSON files, with their file, and those that can't be read."""
-    raw = spark.read.option("mode", "PERMISSIVE").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").schema(schema + ", _bad string").json(path)
-    raw = raw.withColumn("_file", F.col("_metadata.file_path"))
-    return raw.where("_bad is null").drop("_bad"), raw.where("_bad is not null").select("_file", "_bad")
+def gather_outputs(spark: SparkSession, folder: str, name: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """``(sample_id, json)`` of the JSON objects that jobs left in files ``name`` below ``folder``, and ``(file)`` of those that can't be read.
+
+    Of a sample in several files the last by path counts. A file is a job's output, one row here.
+    """
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(folder, wholetext=True)
+    raw = found.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"}).alias("m"), F.col("value"))
+    good = F.col("m").isNotNull() & F.trim("value").startswith("{")
+    rows = raw.where(good).select("file", F.explode("m").alias("sample_id", "json"))
+    return rows.groupBy("sample_id").agg(F.max_by("json", "file").alias("json")), raw.where(~good).select("file")
+
+
+def read_table(spark: SparkSession, source: str, kind: str = "parquet", schema: str | None = None, **options) -> DataFrame:
+    """A relational table: Parquet, ORC, JSON or CSV files at ``source``, or with ``kind='jdbc'`` the table ``source`` of ``url``.
+
+    For a database give ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions`` with a large table, so that
+    it is read by as many tasks; filters and columns are pushed down to it. CSV without a schema has columns of text.
+    """
+    reader = spark.read.format(kind).options(**options)
+    if kind == "jdbc":
+        return reader.option("dbtable", source).load()
+    if kind == "csv" and "header" not in options:
+        reader = reader.option("header", True)
+    return (reader.schema(schema) if schema else reader).load(source)
+
+
+def upsert_table(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> None:
+    """Merges ``new`` into the Parquet table at ``path``: rows of equal ``keys`` are replaced, others stay or are added.
+
+    Of rows of ``new`` with equal keys one stays, that with the greatest other values. The merged table is written beside
+    the old one before it takes its place.
+    """
+    from pyspark.errors import AnalysisException
+
+    from termloom.functions.shared import staged
+    from termloom.operators.relational import last_wins
+
+    rows = new.withColumn("_new", F.lit(True))
+    try:
+        rows = spark.read.parquet(path).withColumn("_new", F.lit(False)).unionByName(rows)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    merged = staged(last_wins(rows, keys, "_new").drop("_new").select(*new.columns), "upsert")
+    merged.write.mode("overwrite").parquet(path)
 
 
 def read_obo(spark: SparkSession, path: str, ont: str, idspaces: list[str] | None = None, obsolete: bool = False) -> dict[str, DataFrame]:
     """The tables ``term``, ``synonym``, ``rel``, ``subset``, ``xref`` and ``property`` of an OBO file.
 
-    Stanzas are parted by blank lines; those of terms count that have a name, aren't obsolete and are in ``idspaces``.
+    Stanzas are parted by blank lines, with blanks in them or carriage returns or not; those of terms count that have a name, aren't obsolete and are in ``idspaces``.
     ``is_a`` parents outside ``idspaces`` are left out, other relationships aren't.
     """
-    stanza = spark.read.text(path, lineSep="\n\n").where(F.col("value").rlike(r"(?s)^\s*\[Term\]")).withColumn("_n", F.monotonically_increasing_id())
-    lines = stanza.select("_n", F.posexplode(F.split("value", "\n")).alias("_p", "line")).where(F.contains("line", F.lit(":")))
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\r?\n[ \t]*\r?\n")).alias("value"))  # a vocabulary's file
+    stanza = whole.where(F.col("value").rlike(r"(?s)^\s*\[Term\]")).withColumn("_n", F.monotonically_increasing_id())
+    lines = stanza.select("_n", F.posexplode(F.split("value", r"\r?\n")).alias("_p", "line")).where(F.contains("line", F.lit(":")))
     tags = lines.select("_n", "_p", F.trim(F.split("line", ":", 2)[0]).alias("tag"), F.trim(F.split("line", ":", 2)[1]).alias("v"))
     first = lambda name: F.min_by(F.when(F.col("tag") == name, F.col("v")), F.when(F.col("tag") == name, F.col("_p")))
     quoted = F.regexp_extract("v", r'"((?:\\.|[^"\\])*)"', 1)
@@ -131,6 +180,16 @@ def rows_as_json(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.to_json(F.struct(*sorted(columns))).alias("line"))
 
 
+def search_page(rows: DataFrame, columns: list[str], error: str | None = None):
+    """Pieces of text of one JSON object, ``error_message`` and the list ``search_results``; rows stream through, none is held."""
+    import json
+
+    yield '{"error_message": ' + json.dumps(error) + ', "search_results": ['
+    for i, r in enumerate(rows_as_json(rows, columns).toLocalIterator()):
+        yield (", " if i else "") + r["line"]
+    yield "]}"
+
+
 def write_table(df: DataFrame, path: str, partition: str | None = None) -> None:
     """A Parquet table in place of any that was there."""
     w = df.write.mode("overwrite")

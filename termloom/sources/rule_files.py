@@ -20,7 +20,9 @@ from termloom.sources import readers
 #: The files' names.
 FILES = {
     "filter": "filter_key_val_rules.json",
+    "cell_line_filter": "cell_line_filter_key_val_rules.json",
     "synonyms": "custom_syn_sets.json",
+    "cell_line_synonyms": "cvcl_syn_sets.json",
     "property_synonyms": "has_val_syn_term_ids.json",
     "acronyms": "acronym_to_expansions.json",
     "two_characters": "two_char_mappings.json",
@@ -78,8 +80,13 @@ def read_rules(spark: SparkSession, files: dict[str, str] | str) -> Rules:
     out = Rules()
     if (x := get("filter")) is not None:
         out.filter_keys, out.filter_values = x.get("filter_keys", []), sorted(set(x.get("filter_values", [])))
+    if (x := get("cell_line_filter")) is not None:
+        out.cell_line_keys, out.cell_line_values = x.get("filter_keys", []), sorted(set(x.get("filter_values", [])))
+    sets = lambda x: spark.createDataFrame([(i, m) for i, one in enumerate(x) for m in one], "set_id int, member string")
     if (x := get("synonyms")) is not None:
-        out.synonym_sets = spark.createDataFrame([(i, m) for i, one in enumerate(x) for m in one], "set_id int, member string")
+        out.synonym_sets = sets(x)
+    if (x := get("cell_line_synonyms")) is not None:
+        out.cell_line_synonyms = sets(x)
     if (x := get("property_synonyms")) is not None:
         out.property_sets = spark.createDataFrame([(p, i, m) for p, sets in x.items() for i, one in enumerate(_sets(sets)) for m in one], "property_id string, set_id int, member string")
     out.acronyms = get("acronyms") or out.acronyms
@@ -185,11 +192,21 @@ def mappings_as_json(mapped: DataFrame, values: DataFrame) -> DataFrame:
     return both.select("sample_id", F.to_json(F.struct(none("mapped_terms"), none("real_value_properties"))).alias("json"))
 
 
+def read_mapping_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As :func:`read_mappings`, of lines ``{"sample_id": .., "json": ..}`` as :func:`mappings_as_json` gives them: files of any size, read in parallel."""
+    rows = spark.read.schema("sample_id string, json string").json(path).where("sample_id is not null")
+    return _mapping_tables(rows.select("sample_id", F.from_json("json", _MAPPING).alias("x")))
+
+
+_REAL = "struct<property_id:string,value:double,unit_id:string,consequent:boolean>"
+_MAPPING = f"struct<mapped_terms:array<struct<term_id:string,consequent:boolean>>,real_value_properties:array<{_REAL}>>"
+
+
+def _mapping_tables(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return raw.select("sample_id", F.inline("x.mapped_terms")), raw.select("sample_id", F.inline("x.real_value_properties")), raw.select("sample_id")
+
+
 def read_mappings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``mapped (sample_id, term_id, consequent)``, ``values`` and ``samples (sample_id)`` of JSON like sample -> mappings; a sample with nothing mapped is still one."""
-    real = "struct<property_id:string,value:double,unit_id:string,consequent:boolean>"
-    shape = f"map<string,struct<mapped_terms:array<struct<term_id:string,consequent:boolean>>,real_value_properties:array<{real}>>>"
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", shape).alias("m")).select(F.explode("m").alias("sample_id", "x"))
-    return (
-        raw.select("sample_id", F.inline("x.mapped_terms")), raw.select("sample_id", F.inline("x.real_value_properties")), raw.select("sample_id"),
-    )
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,{_MAPPING}>").alias("m"))
+    return _mapping_tables(raw.select(F.explode("m").alias("sample_id", "x")))

@@ -51,9 +51,11 @@ def test_attribute_text(spark):
     assert {(r.tag, r.value) for r in R.tagged_pairs(df, "id", F.col("raw")).collect()} == {("a", "2"), ("b", "x")}
 
 
-def test_fuzzy_equals_brute_force(spark):
+@pytest.mark.parametrize("common", [200, 0, 3])
+def test_fuzzy_equals_brute_force(spark, monkeypatch, common):
+    monkeypatch.setattr(M, "COMMON", common)
     rng = random.Random(5)
-    base = ["".join(rng.choice("abcde ") for _ in range(rng.randint(3, 32))) for _ in range(150)]
+    base = ["serial name no. " + str(1000 + i) for i in range(30)] + ["".join(rng.choice("abcde ") for _ in range(rng.randint(3, 32))) for _ in range(150)]
 
     def mutate(s):
         for _ in range(rng.randint(0, 3)):
@@ -82,6 +84,66 @@ def test_fuzzy_equals_brute_force(spark):
     assert got == want and len(want) > 20
 
 
+def test_fuzzy_of_one_beginning(spark):
+    """20,000 strings with one beginning: what is compared grows with the near pairs."""
+    s = spark.range(20_000).select(F.concat(F.lit("Supplier number "), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 16)).alias("s"))
+    asked = s.select(F.concat(F.lit("supplier"), F.substring("s", F.lit(9), F.length("s"))).alias("tok"))
+    got = M.fuzzy_match(asked, s)
+    assert got.count() == 20_000 and got.where("edit_dist <> 1 or lower(tok) <> lower(s)").count() == 0
+
+
+def test_contained_as_brute_force(spark):
+    rng = random.Random(11)
+    spans = {(rng.choice("ab"), x, x + rng.choice((0, 1, 2, 3, 5, 9, 30, 64, 200)), rng.choice(["t1", "t2", "t3", "t4"])) for x in (rng.randrange(150) for _ in range(250))}
+    up = {("t1", "t1"), ("t2", "t2"), ("t3", "t3"), ("t4", "t4"), ("t1", "t2"), ("t3", "t2"), ("t1", "t4")}
+
+    def keeps(m):
+        around = {(b[1], b[2]) for b in spans if b[0] == m[0] and b[1] <= m[1] and b[2] >= m[2] and (b[1], b[2]) != (m[1], m[2])}
+        return all(any(b[0] == m[0] and (b[1], b[2]) == i and (b[3], m[3]) in up for b in spans) for i in around)
+
+    df = spark.createDataFrame(sorted(spans), "sample_id string, start int, end int, term_id string")
+    got = {tuple(r) for r in U.drop_contained(df, spark.createDataFrame(sorted(up), "term_id string, ancestor string")).collect()}
+    assert got == {m for m in spans if keeps(m)} and 0 < len(got) < len(spans)
+    bare = {tuple(r) for r in U.drop_contained(df).collect()}
+    assert bare == {m for m in spans if not any(b[0] == m[0] and b[1] <= m[1] and b[2] >= m[2] and (b[1], b[2]) != (m[1], m[2]) for b in spans)}
+
+
+def test_words_as_treebanks_part_them(spark):
+    for text, want in (
+        ("They'll save and invest more.", "They 'll save and invest more ."), ("hi, my name can't hello,", "hi , my name ca n't hello ,"), ("blood (whole), 48h", "blood ( whole ) , 48h"),
+        ('He said "it\'s 1,000: yes"--then left...', 'He said " it \'s 1,000 : yes " -- then left ...'), ("cannot gonna O'Neil's dogs'", "can not gon na O'Neil 's dogs '"),
+        ("a:b 3:4 50% R&D `` x ''", 'a : b 3:4 50 % R & D " x "'), ("A. B. C.)", "A. B. C . )"), ("", ""),
+    ):
+        assert " ".join(one(spark, T.word_tokens(F.col("a")), a=text)) == want
+
+
+def test_graph_nodes_edges_and_paths(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "d"), ("a", "c"), ("c", "d"), ("d", "a"), ("x", "x")], "src string, dst string")
+    paths = {(r.source, r.node): r.path for r in G.shortest_paths(e, spark.createDataFrame([("a",), ("x",)], "source string")).collect()}
+    assert paths == {("a", "a"): ["a"], ("a", "b"): ["a", "b"], ("a", "c"): ["a", "c"], ("a", "d"): ["a", "b", "d"], ("x", "x"): ["x"]}
+    back = {r.node: r.path for r in G.shortest_paths(e, spark.createDataFrame([("d",)], "source string"), reverse=True).collect()}
+    assert back["a"] == ["d", "b", "a"]
+    with pytest.raises(RuntimeError, match="more than 1 edges"):
+        G.shortest_paths(e, spark.createDataFrame([("a",)], "source string"), rounds=1)
+    with pytest.raises(RuntimeError, match="peeled"):
+        G.on_cycles(spark.createDataFrame([(i, i + 1) for i in range(5)], "src int, dst int"), rounds=2)
+    left = G.delete_edges(e, spark.createDataFrame([("a", "b")], "src string, dst string"))
+    assert {tuple(r) for r in left.collect()} == {("b", "d"), ("a", "c"), ("c", "d"), ("d", "a"), ("x", "x")}
+    n = spark.createDataFrame([("z",)], "node string")
+    assert {r.node for r in G.all_nodes(n, e).collect()} == set("abcdxz")
+    assert {tuple(r) for r in G.children(e, spark.createDataFrame([("a",)], "node string")).collect()} == {("a", "b"), ("a", "c")}
+    assert {r.node for r in G.targets(e, spark.createDataFrame([("d",), ("z",)], "node string")).collect()} == {"d"}
+
+
+def test_closure_by_doubling(spark):
+    rng = random.Random(2)
+    edges = spark.createDataFrame([(i, i // 2) for i in range(1, 200)] + [(rng.randrange(200), rng.randrange(200)) for _ in range(20)] + [(300 + i, 301 + i) for i in range(40)], "child int, parent int")
+    nodes = spark.createDataFrame([(i,) for i in range(0, 400, 3)], "term_id int")
+    assert {tuple(r) for r in G.closure_of_all(edges, nodes).collect()} == {tuple(r) for r in G.closure(edges, nodes).collect()}
+    with pytest.raises(RuntimeError, match="chains"):
+        G.closure_of_all(edges, nodes, rounds=2)
+
+
 def test_graph(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "child string, parent string")
     nodes = spark.createDataFrame([(x,) for x in "abcd"], "term_id string")

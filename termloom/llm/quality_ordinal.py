@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from termloom.functions.shared import staged
 from termloom.llm.common import fold, narrow, table
 
 WIDTH, SHAPES = 2048, 256
@@ -79,7 +80,10 @@ class OrdinalLogit:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[OrdinalLogit, list[int]]:
-    """The model and its grades, from labelled rows outside fold 0; rows without id or grade are left out."""
+    """The model and its grades, from labelled rows outside fold 0; rows without id or grade are left out.
+
+    Of repeated ids each grade and each text counts, within ``MAX_TRAIN`` rows in all: the bound holds for rows of ``docs``, too.
+    """
     marked = narrow(labels, _id=id_col, _y=label_col).where("_id is not null and _y is not null").where(fold("_id") != 0).distinct()
     sample = marked.orderBy(F.xxhash64(F.lit(5), "_id"), "_id", "_y").limit(MAX_TRAIN)
     met = narrow(docs, _doc=id_col, _t=text_col).join(F.broadcast(sample), F.col("_doc") == F.col("_id")).selectExpr("cast(_id as string) i", "cast(_y as int) y", "_t")
@@ -88,7 +92,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], ["i", "y", "x"])
 
-    rows = sorted((r["i"], r["y"], bytes(r["x"])) for r in met.mapInArrow(vectors, "i string, y int, x binary").collect())
+    found = staged(met.mapInArrow(vectors, "i string, y int, x binary"), "ordinal-sample")
+    first = found.orderBy(F.xxhash64(F.lit(5), "i"), "i", "y", F.xxhash64("x"), "x").limit(MAX_TRAIN)
+    rows = [(r["i"], r["y"], bytes(r["x"])) for r in first.collect()]
     grades = sorted({r[1] for r in rows})
     x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(-1, WIDTH + SHAPES)
     return OrdinalLogit().fit(x, np.array([grades.index(r[1]) for r in rows], np.int64), len(grades)), grades or [0]

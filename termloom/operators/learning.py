@@ -46,8 +46,8 @@ def vocabulary(grams: DataFrame, above: int = 2, stop_words: DataFrame | None =
     return out.join(stop_words, "gram", "left_anti") if stop_words is not None else out
 
 
-def mutual_information(presence: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(gram, label, mi)`` in nats of a binary feature and a class against the rest.
+def mutual_information(presence: DataFrame, labels: DataFrame, above: int = 0) -> DataFrame:
+    """``(gram, label, mi)`` in nats of a binary feature, one in more than ``above`` labelled samples, and a class against the rest.
 
     ``presence (sample_id, gram)`` distinct, ``labels (sample_id, label)``. From the counts of the feature, the class
     and both, so rows are read once and no contingency table is spread out.
@@ -59,7 +59,7 @@ def mutual_information(presence: DataFrame, labels: DataFrame) -> DataFrame:
     classes = F.array(*[F.struct(F.lit(r["label"]).alias("label"), F.lit(r["nl"]).alias("nl")) for r in sizes])
     met = presence.join(labels, "sample_id")
     both = staged(met.groupBy("gram", "label").agg(F.count("*").alias("nb")), "feature-counts")
-    by_gram = both.groupBy("gram").agg(F.sum("nb").alias("ng"))
+    by_gram = both.groupBy("gram").agg(F.sum("nb").alias("ng")).where(F.col("ng") > above)
     grid = by_gram.select("gram", "ng", F.inline(classes)).join(both, ["gram", "label"], "left").fillna(0, ["nb"]) if sizes else by_gram.withColumns({"label": F.lit(""), "nl": F.lit(0), "nb": F.lit(0)})
     cell = lambda x, r, c: f"case when {x} > 0 then {x} / {n}D * ln({x} * {n}D / ({r} * {c})) else 0D end"
     mi = " + ".join((cell("nb", "ng", "nl"), cell("(ng - nb)", "ng", f"({n} - nl)"), cell("(nl - nb)", f"({n} - ng)", "nl"), cell(f"({n} - ng - nl + nb)", f"({n} - ng)", f"({n} - nl)")))

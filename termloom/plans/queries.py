@@ -36,7 +36,7 @@ def _dictionary(spark, d):
     w = p.select(F.explode(F.split("p_name", " ")).alias("s"))
     names = w.select("s", F.concat(F.lit("PT:"), "s").alias("term_id"), F.lit("TERM_NAME").alias("target"))
     full = p.select(F.col("p_name").alias("s"), F.concat(F.lit("PN:"), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("term_id"), F.lit("TERM_NAME").alias("target"))
-    kinds = p.select(F.split("p_name", " ")[1].alias("s"), F.concat(F.lit("PB:"), "p_brand").alias("term_id"), F.lit("EXACT").alias("target")).where("p_brand in ('Brand#1', 'Brand#2', 'Brand#3')")
+    kinds = p.select(F.split("p_name", " ")[1].alias("s"), F.concat(F.lit("PB:"), "p_brand").alias("term_id"), F.lit("EXACT").alias("target"))
     other = p.select(F.split("p_name", " ")[0].alias("s"), F.concat(F.lit("PT:"), F.lower("p_type")).alias("term_id"), F.lit("RELATED").alias("target"))
     return names.unionByName(full).unionByName(kinds).unionByName(other).distinct()
 
@@ -45,7 +45,7 @@ _DICT = """dict AS (
   SELECT DISTINCT * FROM (
     SELECT unnest(string_split(p_name, ' ')) AS s, 'PT:' || unnest(string_split(p_name, ' ')) AS term_id, 'TERM_NAME' AS target FROM part
     UNION ALL SELECT p_name, 'PN:' || replace(p_name, ' ', '_'), 'TERM_NAME' FROM part
-    UNION ALL SELECT string_split(p_name, ' ')[2], 'PB:' || p_brand, 'EXACT' FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3')
+    UNION ALL SELECT string_split(p_name, ' ')[2], 'PB:' || p_brand, 'EXACT' FROM part
     UNION ALL SELECT string_split(p_name, ' ')[1], 'PT:' || lower(p_type), 'RELATED' FROM part)
 )"""
 _MATCH = (
@@ -89,7 +89,7 @@ def exact_match_bigrams(spark, d):
         w = df.select(key, F.split(F.trim(F.lower(F.regexp_replace("text", "[^0-9a-zA-Z]+", " "))), " ").alias("w"))
         return w.where("size(w) >= 2").select(key, F.explode(F.array_distinct(F.expr("transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i]))"))).alias("gram"))
 
-    wanted = grams(t(spark, d, "benchmark"), "item_id").select("gram").distinct()
+    wanted = staged(grams(t(spark, d, "benchmark"), "item_id").select("gram").distinct(), "wanted-bigrams")  # of known size: small ones are broadcast
     return grams(t(spark, d, "documents"), "doc_id").join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n_docs"))
 
 
@@ -152,12 +152,14 @@ def exact_match_labels(spark, d):
 
 
 @query("""
-WITH q AS (SELECT s_name AS tok FROM supplier WHERE s_suppkey % 2 = 1), s AS (SELECT s_name AS s FROM supplier WHERE s_suppkey % 2 = 0),
+WITH q AS (SELECT replace(s_name, '#', '-') AS tok FROM supplier UNION SELECT left(s_name, length(s_name) - 1) FROM supplier), s AS (SELECT s_name AS s FROM supplier),
 p AS (SELECT tok, s, levenshtein(tok, s) AS e FROM q, s), f AS (SELECT * FROM p WHERE e <= 2 AND e / greatest(length(tok), length(s)) <= 0.1)
 SELECT tok, s, e::INTEGER AS edit_dist FROM (SELECT *, min(e) OVER (PARTITION BY tok) AS b FROM f) WHERE e = b""")
 def fuzzy_match_best(spark, d):
-    s = t(spark, d, "supplier")
-    return M.fuzzy_match(s.where("s_suppkey % 2 = 1").select(F.col("s_name").alias("tok")), s.where("s_suppkey % 2 = 0").select(F.col("s_name").alias("s")))
+    """Names with another sign, and without their last digit (ten of them are as near), among all names."""
+    s = t(spark, d, "supplier").select(F.col("s_name").alias("s"))
+    asked = s.select(F.replace("s", F.lit("#"), F.lit("-")).alias("tok")).unionByName(s.select(F.expr("left(s, length(s) - 1)").alias("tok")))
+    return M.fuzzy_match(asked, s)
 
 
 @query("""
@@ -181,21 +183,14 @@ def synonym_expand(spark, d):
     return K.expand_sets(_part_tokens(spark, d), spark.createDataFrame(_SETS, "set_id int, member string")).select("sample_id", "tok", "start", "end")
 
 
-#: The acronyms that are written out.
-ACRONYMS = {
-    "hESC": ["human embryonic stem cell", "embryonic stem cell", "stem cell"],
-    "ESC": ["embryonic stem cell", "stem cell"],
-    "iPSC": ["induced pluripotent stem cell", "pluripotent stem cell", "stem cell"],
-    "ALS": ["amyotrophic lateral sclerosis"],
-    "sALS": ["amyotrophic lateral sclerosis"],
-}
-_ACR = [(k, v) for k, vs in ACRONYMS.items() for v in vs]
+_ACRONYMS = {"SML": ["small size", "size"], "LRG": ["large size"], "rdw": ["red widget", "widget"], "HOT": ["hot rolled"]}
+_ACR = [(k, v) for k, vs in _ACRONYMS.items() for v in vs]
 _ACR_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _ACR) + ") m(a, b)"
 
 
-@query(f"""SELECT p_partkey AS sample_id, b AS tok FROM (SELECT p_partkey, ['hESC', 'ESC', 'iPSC', 'ALS', 'sALS', 'esc', 'other'][(p_size % 7 + 1)::INTEGER] AS x FROM part) JOIN {_ACR_SQL} ON x = a""")
+@query(f"""SELECT p_partkey AS sample_id, b AS tok FROM (SELECT p_partkey, ['SML', 'LRG', 'rdw', 'RDW', 'HOT', 'hot', 'other'][(p_size % 7 + 1)::INTEGER] AS x FROM part) JOIN {_ACR_SQL} ON x = a""")
 def acronym_expand(spark, d):
-    p = t(spark, d, "part").select("p_partkey", F.expr("element_at(array('hESC', 'ESC', 'iPSC', 'ALS', 'sALS', 'esc', 'other'), int(p_size % 7 + 1))").alias("note"))
+    p = t(spark, d, "part").select("p_partkey", F.expr("element_at(array('SML', 'LRG', 'rdw', 'RDW', 'HOT', 'hot', 'other'), int(p_size % 7 + 1))").alias("note"))
     tok = K.init_tokens(K.kv_pairs(p, "p_partkey", ["note"])).where("side = 'val'")
     return K.expand_map(tok, spark.createDataFrame(_ACR, "from_str string, to_str string")).select("sample_id", "tok")
 
@@ -300,7 +295,7 @@ def _halves(spark, d):
 
 @query("""WITH RECURSIVE c(term_id, ancestor) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey >= 1 UNION SELECT term_id, ancestor // 2 FROM c WHERE ancestor > 1) SELECT term_id, ancestor FROM c""")
 def closure_ancestors(spark, d):
-    return G.closure(_halves(spark, d), t(spark, d, "part").where("p_partkey >= 1").select(F.col("p_partkey").alias("term_id")))
+    return G.closure_of_all(_halves(spark, d), t(spark, d, "part").where("p_partkey >= 1").select(F.col("p_partkey").alias("term_id")))
 
 
 @query("""WITH RECURSIVE c(x) AS (SELECT unnest([3, 10])::BIGINT UNION SELECT p_partkey FROM part, c WHERE p_partkey > 1 AND p_partkey // 2 = x)
@@ -315,15 +310,34 @@ m AS (SELECT DISTINCT p_brand AS set_id, p_partkey AS term_id FROM part WHERE p_
 SELECT set_id, term_id FROM m WHERE NOT EXISTS (SELECT 1 FROM m k JOIN c ON c.term_id = k.term_id WHERE k.set_id = m.set_id AND c.ancestor = m.term_id AND c.term_id <> m.term_id)""")
 def most_specific(spark, d):
     p = t(spark, d, "part").where("p_partkey >= 1")
-    return G.most_specific(p.select(F.col("p_brand").alias("set_id"), F.col("p_partkey").alias("term_id")).distinct(), G.closure(_halves(spark, d), p.select(F.col("p_partkey").alias("term_id"))))
+    return G.most_specific(p.select(F.col("p_brand").alias("set_id"), F.col("p_partkey").alias("term_id")).distinct(), G.closure_of_all(_halves(spark, d), p.select(F.col("p_partkey").alias("term_id"))))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey::BIGINT AS src, (s_suppkey % 25)::BIGINT AS dst FROM supplier WHERE s_suppkey % 3 = 0),
-h(source, node, hops) AS (SELECT n_nationkey::BIGINT, n_nationkey::BIGINT, 0 FROM nation WHERE n_regionkey = 0 UNION SELECT source, dst, hops + 1 FROM h JOIN e ON node = src WHERE hops < 25)
+# ---- a graph on all customers: each follows from a third of its number, in shortcuts from a ninth ----
+_STEPS_SQL = """e AS (SELECT c_custkey // 3 AS src, c_custkey AS dst, c_mktsegment AS label FROM customer WHERE c_custkey > 0
+  UNION SELECT c_custkey // 9, c_custkey, 'shortcut' FROM customer WHERE c_custkey // 9 % 2 = 1)"""
+
+
+def _steps(spark, d):
+    c = t(spark, d, "customer")
+    return c.where("c_custkey > 0").selectExpr("c_custkey div 3 as src", "c_custkey as dst", "c_mktsegment as label").unionByName(
+        c.where("c_custkey div 9 % 2 = 1").selectExpr("c_custkey div 9 as src", "c_custkey as dst", "'shortcut' as label")
+    )
+
+
+@query(f"""WITH RECURSIVE {_STEPS_SQL},
+h(source, node, hops) AS (SELECT n_nationkey::BIGINT, n_nationkey::BIGINT, 0 FROM nation UNION SELECT source, dst, hops + 1 FROM h JOIN e ON node = src WHERE hops < 40)
 SELECT source, node, min(hops)::INTEGER AS hops FROM h GROUP BY source, node""")
 def shortest_hops(spark, d):
-    e = t(spark, d, "supplier").where("s_suppkey % 3 = 0").selectExpr("bigint(s_nationkey) as src", "bigint(s_suppkey % 25) as dst")
-    return G.shortest_hops(e, t(spark, d, "nation").where("n_regionkey = 0").selectExpr("bigint(n_nationkey) as source"))
+    return G.shortest_hops(_steps(spark, d), t(spark, d, "nation").selectExpr("bigint(n_nationkey) as source"))
+
+
+@query(f"""WITH RECURSIVE {_STEPS_SQL}, h(source, node, hops, path) AS (
+  SELECT n_nationkey::BIGINT, n_nationkey::BIGINT, 0, [n_nationkey::BIGINT] FROM nation UNION ALL SELECT source, dst, hops + 1, list_append(path, dst) FROM h JOIN (SELECT DISTINCT src, dst FROM e) ON node = src WHERE hops < 40)
+SELECT source, node, hops::INTEGER AS hops, array_to_string(path, '>') AS path FROM (SELECT *, row_number() OVER (PARTITION BY source, node ORDER BY hops, path) AS r FROM h) WHERE r = 1""")
+def shortest_paths(spark, d):
+    found = G.shortest_paths(_steps(spark, d), t(spark, d, "nation").selectExpr("bigint(n_nationkey) as source"))
+    return found.select("source", "node", "hops", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 @query(f"WITH {_DICT} SELECT DISTINCT b.term_id AS b_id, a.term_id AS a_id FROM dict a JOIN dict b ON a.s = b.s WHERE a.target IN ('TERM_NAME', 'EXACT') AND b.target IN ('TERM_NAME', 'EXACT') AND a.term_id LIKE 'PT:%' AND b.term_id LIKE 'PB:%'")
@@ -412,11 +426,12 @@ def layout_parse(spark, d):
     return t(spark, d, "orders").select("o_orderkey", T.library_layout(F.col("o_orderpriority")).alias("layout"))
 
 
-@query("""SELECT o_custkey AS sample_id, CASE WHEN bool_or(o_orderstatus = 'O') THEN 'human' ELSE 'mouse' END AS species, CASE WHEN bool_or(o_orderstatus = 'O') THEN 'rna' ELSE 'chip' END AS assay FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_custkey""")
+@query("""SELECT o_custkey AS sample_id, CASE WHEN bool_or(o_orderstatus = 'O') THEN 'human' WHEN bool_or(o_orderstatus = 'P') THEN 'rat' ELSE 'mouse' END AS species,
+  CASE WHEN bool_or(o_orderstatus = 'O') THEN 'rna' WHEN bool_or(o_orderstatus = 'P') THEN 'array' ELSE 'chip' END AS assay FROM orders GROUP BY o_custkey""")
 def union_assays(spark, d):
     o = t(spark, d, "orders")
     part = lambda s: o.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("sample_id")).distinct()
-    return R.union_sources({("mouse", "chip"): part("F"), ("human", "rna"): part("O")}, ("species", "assay"), ["sample_id"])
+    return R.union_sources({("mouse", "chip"): part("F"), ("rat", "array"): part("P"), ("human", "rna"): part("O")}, ("species", "assay"), ["sample_id"])
 
 
 @query("""SELECT event_type, count(*) FILTER (WHERE event_id % 10 <> 3)::BIGINT AS good, count(*) FILTER (WHERE event_id % 10 = 3)::BIGINT AS bad FROM events GROUP BY event_type""")
@@ -430,19 +445,19 @@ _GRAMS = """w AS (SELECT doc_id AS sample_id, list_filter(string_split(trim(lowe
 g AS (SELECT sample_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS gram FROM w)"""
 
 
-def _grams(spark, d):
-    x = t(spark, d, "documents").select("doc_id", F.trim(F.lower(F.regexp_replace("text", "[^0-9a-zA-Z]+", " "))).alias("x"))
+def _grams(documents):
+    x = documents.select("doc_id", F.trim(F.lower(F.regexp_replace("text", "[^0-9a-zA-Z]+", " "))).alias("x"))
     return L.classifier_grams(x, "doc_id", "x")
 
 
 @query(f"WITH {_GRAMS} SELECT gram, count(*)::BIGINT AS tf, count(DISTINCT sample_id)::BIGINT AS df FROM g WHERE length(gram) > 1 GROUP BY gram HAVING count(DISTINCT sample_id) > 2")
 def doc_freq_vocab(spark, d):
-    return L.vocabulary(_grams(spark, d))
+    return L.vocabulary(_grams(t(spark, d, "documents")))
 
 
 _MI = f"""{_GRAMS}, l AS (SELECT doc_id AS sample_id, (quality * 2 + toxic)::VARCHAR AS label FROM labels), n AS (SELECT count(*)::DOUBLE AS n FROM l),
-v AS (SELECT gram FROM g WHERE length(gram) > 1 GROUP BY gram HAVING count(DISTINCT sample_id) > 2),
-p AS (SELECT DISTINCT sample_id, gram FROM g JOIN v USING (gram)), m AS (SELECT * FROM p JOIN l USING (sample_id)),
+t AS (SELECT g.* FROM g WHERE sample_id IN (SELECT sample_id FROM l)), v AS (SELECT gram FROM t WHERE length(gram) > 1 GROUP BY gram HAVING count(DISTINCT sample_id) > 2),
+p AS (SELECT DISTINCT sample_id, gram FROM t JOIN v USING (gram)), m AS (SELECT * FROM p JOIN l USING (sample_id)),
 ng AS (SELECT gram, count(*)::DOUBLE AS ng FROM m GROUP BY gram), nl AS (SELECT label, count(*)::DOUBLE AS nl FROM l GROUP BY label), nb AS (SELECT gram, label, count(*)::DOUBLE AS nb FROM m GROUP BY ALL),
 mi AS (SELECT ng.gram, nl.label,
   CASE WHEN coalesce(nb, 0) > 0 THEN nb / n * ln(nb * n / (ng * nl)) ELSE 0 END + CASE WHEN ng - coalesce(nb, 0) > 0 THEN (ng - coalesce(nb, 0)) / n * ln((ng - coalesce(nb, 0)) * n / (ng * (n - nl))) ELSE 0 END
@@ -452,9 +467,10 @@ mi AS (SELECT ng.gram, nl.label,
 
 
 def _mi(spark, d):
-    presence = staged(_grams(spark, d).distinct(), "presence")
-    presence = presence.join(presence.groupBy("gram").count().where("count > 2").select("gram"), "gram", "left_semi")
-    return L.mutual_information(presence, t(spark, d, "labels").select(F.col("doc_id").alias("sample_id"), (F.col("quality") * 2 + F.col("toxic")).cast("string").alias("label")))
+    """Of the training set, the labelled documents: grams in more than two of them."""
+    labels = t(spark, d, "labels").select(F.col("doc_id").alias("sample_id"), (F.col("quality") * 2 + F.col("toxic")).cast("string").alias("label"))
+    texts = t(spark, d, "documents").join(labels.select(F.col("sample_id").alias("doc_id")), "doc_id", "left_semi")
+    return L.mutual_information(_grams(texts).distinct(), labels, above=2)
 
 
 @query(f"WITH {_MI} SELECT gram, label, round(mi, 9) + 0.0 AS mi FROM mi")
@@ -498,7 +514,7 @@ def class_rules_argmax(spark, d):
 
 @query()
 def sample_type_predict(spark, d):
-    grams = _grams(spark, d)
+    grams = _grams(t(spark, d, "documents"))
     labels = t(spark, d, "labels").select(F.col("doc_id").alias("sample_id"), F.when(F.col("quality") == 0, "junk").when(F.col("toxic") == 1, "toxic").otherwise("good").alias("label"))
     return L.normalized_best(L.OneVsRest(rounds=20).fit(grams, labels).scores(grams))
 
@@ -523,12 +539,10 @@ def consequent_flags(spark, d):
     return G.all_inferred(e, ["Match"]).select("dst", "consequent")
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey::BIGINT AS src, (s_suppkey % 25)::BIGINT AS dst FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 4 <> 0),
-r(source, node) AS (SELECT n_nationkey::BIGINT, n_nationkey::BIGINT FROM nation UNION SELECT source, dst FROM r JOIN e ON node = src) SELECT source, node FROM r""")
+@query(f"""WITH RECURSIVE {_STEPS_SQL}, r(source, node) AS (SELECT n_nationkey::BIGINT, n_nationkey::BIGINT FROM nation UNION SELECT source, dst FROM r JOIN e ON node = src WHERE label NOT IN ('BUILDING', 'shortcut')) SELECT source, node FROM r""")
 def reachable_nodes(spark, d):
-    e = t(spark, d, "supplier").where("s_suppkey % 3 = 0").selectExpr("bigint(s_nationkey) as src", "bigint(s_suppkey % 25) as dst", "case when s_suppkey % 4 = 0 then 'N-Gram' else 'Match' end as label")
-    return G.reachable(e, t(spark, d, "nation").selectExpr("bigint(n_nationkey) as source"), ["N-Gram"])
+    """Without two kinds of edges, as is the operator's use."""
+    return G.reachable(_steps(spark, d), t(spark, d, "nation").selectExpr("bigint(n_nationkey) as source"), ["BUILDING", "shortcut"])
 
 
 @query("""
@@ -537,4 +551,4 @@ SELECT DISTINCT term_id, 'L:' || (ancestor % 10) AS linked_id FROM c WHERE ances
 def superterm_links(spark, d):
     p = t(spark, d, "part").where("p_partkey >= 1")
     links = p.where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("term_id"), F.concat(F.lit("L:"), (F.col("p_partkey") % 10).cast("string")).alias("linked_id"))
-    return R.superterm_links(G.closure(_halves(spark, d), p.select(F.col("p_partkey").alias("term_id"))), links)
+    return R.superterm_links(G.closure_of_all(_halves(spark, d), p.select(F.col("p_partkey").alias("term_id"))), links)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termloom.plans import vocabulary_queries  # noqa: F401  (registers its queries)
+from termloom.plans import source_queries, vocabulary_queries  # noqa: F401  (they register their queries)
 from termloom.plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "exact_match_bigrams"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from termloom.functions import text as T
@@ -50,8 +52,15 @@ def uncapitalized_texts(spark, d):
     return t(spark, d, "documents").select("doc_id", F.md5(T.uncapitalize(F.col("text"))).alias("digest"))
 
 
-@query(f"""WITH w AS (SELECT doc_id, [x FOR x IN string_split_regex(regexp_replace(regexp_replace(text, '([\\[\\](){{}}<>,;:@#$%&?!"])', ' \\1 ', 'g'), '\\.{_BLANK}*$', ' .'), '{_BLANK}+') IF x <> ''] AS w FROM documents)
-SELECT doc_id, len(w)::INTEGER AS n, md5(array_to_string(w, ' ')) AS digest FROM w""")
+def _word_steps_sql(x: str) -> str:
+    out = f"' ' || regexp_replace({x}, '{_BLANK}', ' ', 'g') || ' '"
+    for pattern, to in T.WORD_STEPS:
+        to = re.sub(r"\$(\d)", r"\\\1", to)
+        out = "regexp_replace(" + out + ", '" + pattern.replace("'", "''") + "', '" + to.replace("'", "''") + "', 'g')"
+    return f"[x FOR x IN string_split({out}, ' ') IF x <> '']"
+
+
+@query(f"WITH w AS (SELECT doc_id, {_word_steps_sql('text')} AS w FROM documents) SELECT doc_id, len(w)::INTEGER AS n, md5(array_to_string(w, ' ')) AS digest FROM w")
 def word_tokens_texts(spark, d):
     w = t(spark, d, "documents").select("doc_id", T.word_tokens(F.col("text")).alias("w"))
     return w.select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
@@ -80,11 +89,11 @@ def resolve_terms(spark, d):
     return R.resolve_terms(names, spark.createDataFrame(_ASKED, "asked string"))
 
 
-@query("""WITH a AS (SELECT DISTINCT s_nationkey AS k, 'A:' || (s_suppkey % 10) AS l FROM supplier), b AS (SELECT DISTINCT c_nationkey AS k, 'B:' || (c_custkey % 10) AS l FROM customer WHERE c_nationkey % 3 = 0)
+@query("""WITH a AS (SELECT DISTINCT s_nationkey AS k, 'A:' || (s_suppkey % 10) AS l FROM supplier), b AS (SELECT DISTINCT c_custkey % 17 AS k, 'B:' || (c_custkey % 10) AS l FROM customer)
 SELECT k::BIGINT AS term_id, l AS linked_id FROM b UNION SELECT k, l FROM a WHERE k NOT IN (SELECT k FROM b)""")
 def link_map_update(spark, d):
     a = t(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("term_id"), F.concat(F.lit("A:"), (F.col("s_suppkey") % 10).cast("string")).alias("linked_id"))
-    b = t(spark, d, "customer").where("c_nationkey % 3 = 0").select(F.col("c_nationkey").cast("long").alias("term_id"), F.concat(F.lit("B:"), (F.col("c_custkey") % 10).cast("string")).alias("linked_id"))
+    b = t(spark, d, "customer").select((F.col("c_custkey") % 17).alias("term_id"), F.concat(F.lit("B:"), (F.col("c_custkey") % 10).cast("string")).alias("linked_id"))
     return R.override_links(a, b)
 
 
@@ -126,11 +135,11 @@ def inverse_edges(spark, d):
     return G.inverse(_halves(spark, d), t(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("term_id")))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey::BIGINT AS src, (c_custkey % 25)::BIGINT AS dst FROM customer WHERE c_custkey % 3 = 0 AND c_nationkey <> c_custkey % 25),
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS src, (c_custkey * c_custkey + 1) % 97 AS dst FROM customer WHERE c_custkey <> (c_custkey * c_custkey + 1) % 97),
 r(a, b) AS (SELECT src, dst FROM e UNION SELECT a, dst FROM r JOIN e ON b = src), c AS (SELECT a FROM r WHERE a = b)
 SELECT src, dst FROM e WHERE src IN (SELECT a FROM c UNION SELECT b FROM r WHERE a IN (SELECT a FROM c))""")
 def cycle_edges(spark, d):
-    return G.on_cycles(t(spark, d, "customer").where("c_custkey % 3 = 0").selectExpr("bigint(c_nationkey) as src", "bigint(c_custkey % 25) as dst"))
+    return G.on_cycles(t(spark, d, "customer").selectExpr("c_custkey as src", "(c_custkey * c_custkey + 1) % 97 as dst"))
 
 
 @query(f"""WITH e AS (SELECT src, dst FROM ({_SUPPLIES}) UNION SELECT n_regionkey::BIGINT, n_nationkey::BIGINT FROM nation WHERE n_regionkey <> n_nationkey)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -87,7 +86,7 @@ def main(argv: list[str] | None = None) -> None:
             o |= {"explicitly_mapped_terms": [], "consequent_terms": []}
         for r in mapped.orderBy("term_id").collect():
             out[r["sample_id"]]["consequent_terms" if r["consequent"] else "explicitly_mapped_terms"].append(r["term_id"])
-    text = json.dumps(out, indent=4, sort_keys=True)
+    text = readers.pretty_json(out)
     if a.output:
         with open(a.output, "w") as f:
             f.write(text)

@@ -180,6 +180,13 @@ def rows_as_json(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.to_json(F.struct(*sorted(columns))).alias("line"))
 
 
+def pretty_json(value) -> str:
+    """JSON as people read it: four blanks a level, keys in order. For what the driver holds anyway, like the command line's output."""
+    import json
+
+    return json.dumps(value, indent=4, sort_keys=True, separators=(",", ": "))
+
+
 def search_page(rows: DataFrame, columns: list[str], error: str | None = None):
     """Pieces of text of one JSON object, ``error_message`` and the list ``search_results``; rows stream through, none is held."""
     import json

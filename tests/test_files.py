@@ -111,3 +111,28 @@ def test_mappings_round_trip(spark, tmp_path):
     m, v, s = rule_files.read_mappings(spark, str(tmp_path / "m.json"))
     assert {tuple(x) for x in m.collect()} == {("a", "T:1", True), ("a", "T:2", False)}
     assert [tuple(x) for x in v.collect()] == [("b", "P:1", 2.0, None, False)] and {x.sample_id for x in s.collect()} == {"a", "b", "c"}
+
+
+def test_search_page_streams(spark):
+    rows = spark.createDataFrame([(1, 'a "b"', 0.5), (2, None, 1.0)], "id int, name string, confidence double")
+    page = json.loads("".join(readers.search_page(rows, ["id", "name", "confidence"])))
+    assert page["error_message"] is None and {r["id"] for r in page["search_results"]} == {1, 2} and page["search_results"][0]["name"] == 'a "b"'
+    assert json.loads("".join(readers.search_page(rows.limit(0), ["id"], "no such term"))) == {"error_message": "no such term", "search_results": []}
+    assert readers.pretty_json({"b": [1], "a": None}) == '{\n    "a": null,\n    "b": [\n        1\n    ]\n}'
+
+
+def test_obo_with_carriage_returns(spark, tmp_path):
+    (tmp_path / "w.obo").write_bytes(CL.replace("\n\n", "\n  \t\n").replace("\n", "\r\n").encode())
+    obo = readers.read_obo(spark, str(tmp_path / "w.obo"), "CL", ["CL"])
+    assert {(r.term_id, r.name) for r in obo["term"].collect()} == {("CL:0", "cell"), ("CL:1", "blood cell"), ("CL:2", "white cell"), ("CL:9", "apart")}
+    assert {(r.child, r.parent) for r in obo["rel"].collect()} == {("CL:1", "CL:0"), ("CL:2", "CL:1")}
+
+
+def test_tables_that_cannot_be_read(spark, tmp_path):
+    readers.upsert_table(spark, spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), str(tmp_path / "t"), ["k"])
+    readers.upsert_table(spark, spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), str(tmp_path / "t"), ["k"])
+    assert {tuple(r) for r in readers.read_table(spark, str(tmp_path / "t")).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part.parquet").write_text("no table")
+    with pytest.raises(Exception):
+        readers.upsert_table(spark, spark.createDataFrame([(1, "a")], "k int, v string"), str(tmp_path / "broken"), ["k"])

@@ -21,8 +21,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round replaces every node's links by links to its smallest neighbour, once for larger neighbours (large star)
     and once for smaller ones (small star); the edge count never grows and rounds grow with the logarithm of the
-    longest chain. Minima are pre-aggregated before the shuffle and joined back with an ordinary shuffled join, whose
-    skewed keys AQE splits, so that a hub never has to fit one task. Nulls, self links and repeated edges are ignored.
+    longest chain. Minima are pre-aggregated before the shuffle, written, and joined back from there: as neither side is
+    an aggregate then, AQE splits a hub's rows over tasks. Nulls, self links and repeated edges are ignored.
     """
     current = staged(
         edges.where("a is not null and b is not null and a <> b")
@@ -35,12 +35,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if before[0] == 0:
             break
         both = _both_ways(current)
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        low = staged(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "cc-low")
         large = (
             both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         )
         large = staged(large, "cc")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = staged(large.groupBy("a").agg(F.min("b").alias("m")), "cc-low")
         small = large.join(low, "a")
         current = staged(
             small.select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -229,14 +229,15 @@ def fingerprint_links(classes: DataFrame, bits: int = 3) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             k, f, s = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             held.append((k, f.view(np.uint64), s))
             rows += len(k)
-            if rows >= BATCH_ROWS:
+            if rows >= BATCH_ROWS and k[-1] != held[0][0][0]:  # a key that fills more than a batch is put together once
                 whole = tuple(np.concatenate(x) for x in zip(*held))
                 cut = int(np.searchsorted(whole[0], whole[0][-1]))  # the last key may go on
-                if cut:
-                    yield out(tuple(x[:cut] for x in whole))
+                yield out(tuple(x[:cut] for x in whole))
                 held, rows = [tuple(x[cut:] for x in whole)], len(whole[0]) - cut
         if rows:
             yield out(tuple(np.concatenate(x) for x in zip(*held)))
@@ -259,12 +260,26 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = classes.join(comp, classes["fp"] == comp["node"], "left").select(
         classes["fp"].alias("cfp"), "least", F.coalesce("root", classes["fp"]).alias("root")
     )
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = staged(named.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")  # written, so that a hot root's join can be split
     by_fp = named.join(least, "root").select("cfp", "component_id")
     return fps.join(by_fp, fps["fp"] == by_fp["cfp"]).select(
         F.col("_id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
+    """The rows of ``docs`` with one of each component: that with the smallest id, null ids last, of equal ids any one.
+
+    Rows are told apart by themselves, so ids may repeat over texts of several components, or over rows that are equal.
+    Columns pass through whatever their names. Null and blank texts are copies of one another.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0).alias("_")).alias("_row")
+    own = docs.select(F.monotonically_increasing_id().alias("_n"), F.col(f"`{id_col}`").alias("_i"), F.col(f"`{text_col}`").alias("_t"), row)
+    own = staged(own, "simhash-rows")  # numbers stay as written
+    found = simhash_components(own.withColumn("_key", F.struct(F.col("_i").isNull().alias("none"), F.col("_i").alias("id"), F.col("_n").alias("n"))), "_key", "_t", shingle, bits)
+    gone = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id.n").alias("_n"))
+    return own.join(gone, "_n", "left_anti").select(*[(F.col("_t") if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns])
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))

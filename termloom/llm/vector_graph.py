@@ -411,7 +411,7 @@ def vector_components(vectors: DataFrame, threshold: float = 0.95, id_col: str =
             raise RuntimeError(f"links of sampled vectors: {audit['found']} found, {audit['true']} by plain comparison")
     comp = connected_components(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cn")
     named = classes.select("node", "rep", "m").join(comp, F.col("node") == F.col("cn"), "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("rep").alias("least"))
+    least = staged(named.groupBy("root").agg(F.min("rep").alias("least")), "vec-least")  # written, so that a hot root's join can be split
     result = named.join(least, "root").join(per_node, "node", "left").select(F.col("node").alias("_n"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "least")
     out = units.select("_id", "node").join(result, F.col("node") == F.col("_n"), "left")
     component = F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("least"))

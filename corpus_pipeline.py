@@ -1,12 +1,14 @@
 """A corpus pipeline of five stages, each written as Parquet and read again by the next.
 
 Toxic documents go; lines that many documents share stay in one of them; of near copies one stays; sources are mixed
-to target weights (every document at least once, sources below their share again); texts are encoded and decoded.
+to target weights (every document at least once, sources below their share again); texts are encoded and decoded. All
+stages but the last return the columns of the table that they are given, whatever else it holds beside the five of
+``COLUMNS``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from termloom.functions.shared import staged
 from termloom.llm import byte_bpe, line_dedup, mixing, simhash, toxicity
@@ -14,28 +16,44 @@ from termloom.llm import byte_bpe, line_dedup, mixing, simhash, toxicity
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """``_doc_id``, ``_text`` and all other columns in one, where no name can clash."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select(F.col("doc_id").alias("_doc_id"), F.col("text").alias("_text"), F.struct(F.lit(0).alias("_"), *others).alias("_others"))
+
+
+def _together(apart: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``docs`` again, those of ``new`` in place of the old ones."""
+    new = {"doc_id": F.col("_doc_id"), "text": F.col("_text")} | new
+    return apart.select(*[(new[c] if c in new else F.col("_others").getField(c)).alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text scores below one half stay, null and blank texts among them if their score does."""
+    """Rows whose text scores below one half stay, null and blank texts among them if their score does.
+
+    Rows are independent, so null and repeated ids, ties and repeated rows make no difference; an empty table stays empty.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs.select(*COLUMNS), model).where("_score < 0.5").select(*COLUMNS)
+    return _together(toxicity.score(_apart(docs), model, "_doc_id", "_text").where("_score < 0.5"), docs)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row stays; ``text`` loses lines, ``n_chars`` follows it."""
-    out = line_dedup.line_dedup(docs.select(*COLUMNS))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Every row stays; ``text`` loses lines, ``n_chars`` follows it. A null text becomes empty. Repeated rows: see the operator."""
+    out = line_dedup.line_dedup(_apart(docs), "_doc_id", "_text")
+    return _together(out, docs, n_chars=F.length("_text").cast("long"))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the row with the smallest id stays, of rows without a word too."""
-    found = simhash.simhash_components(docs).where("component_id < doc_id").select(F.col("doc_id").alias("_copy")).hint("shuffle_hash")
-    met = docs.select(*COLUMNS).join(found, F.col("doc_id") == F.col("_copy"), "left")
-    return met.where("_copy is null").select(*COLUMNS)
+    """Of each component the row with the smallest id stays, of rows without a word, of repeated rows and of equal ids too, one."""
+    return simhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row stays, in the order of the schedule; rows of sources below their weight are there more than once."""
-    return mixing.mixed(docs.select(*COLUMNS))
+    """Every row stays, in the order of the schedule; rows of sources below their weight are there more than once.
+
+    Rows are told apart by themselves, so null and repeated ids make no difference; a null source is a source.
+    """
+    return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -126,18 +126,20 @@ def test_vectors_as_brute_force(spark):
 
 def test_vectors_in_parts(spark, monkeypatch):
     monkeypatch.setattr(vector_graph, "MAX_SHARD", 100)
+    monkeypatch.setattr(vector_graph, "HOME", 200)
     rng = np.random.default_rng(5)
     x = np.repeat(rng.normal(size=(6, 8)), 70, 0) + rng.normal(size=(420, 8)) * 0.02
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {r.vec_id: r for r in vector_graph.vector_components(df)[0].collect()}
+    out, audit = vector_graph.vector_components(df)
+    got = {r.vec_id: r for r in out.collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     link = u @ u.T >= 0.95
     np.fill_diagonal(link, False)
-    assert sum(r.n_links for r in got.values()) >= 0.95 * link.sum()
+    assert audit["by"] == "exact comparison" and [got[i].n_links for i in range(420)] == link.sum(1).tolist()
 
 
 def test_vectors_of_a_group_over_many_clusters(spark, monkeypatch):
-    monkeypatch.setattr(vector_graph, "MAX_SHARD", 60)
+    monkeypatch.setattr(vector_graph, "HOME", 30)
     rng = np.random.default_rng(6)
     x = rng.normal(size=(1500, 16))
     x[:900] = x[0] + rng.normal(size=(900, 16)) * 0.22  # distinct near copies, by k-means in many clusters
@@ -145,17 +147,84 @@ def test_vectors_of_a_group_over_many_clusters(spark, monkeypatch):
     out, audit = vector_graph.vector_components(df)
     got = {r.vec_id: r for r in out.collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    homes = (u[:900] @ vector_graph.fit_centroids(u, 51).T).argmax(1)
+    homes = (u[:900] @ vector_graph.fit_centroids(u, 50).T).argmax(1)
     assert len(set(homes.tolist())) > 6
     link = u @ u.T >= 0.95
     np.fill_diagonal(link, False)
     assert link.sum() > 100_000 and [got[i].n_links for i in range(1500)] == link.sum(1).tolist()
     assert [got[i].component_id for i in range(1500)] == vector_graph.lowest(len(x), *np.nonzero(link)).tolist()
-    assert audit["true"] == audit["found"] > 0
+    assert audit["true"] == audit["found"] > audit["found by the graph"] > 0 and audit["by"] == "exact comparison"
+
+
+def test_pruned_lists_and_search_as_brute_force():
+    rng = np.random.default_rng(20)
+    x = rng.normal(size=(700, 24))
+    x[200:500] = x[rng.integers(0, 60, 300)] + rng.normal(size=(300, 24)) * rng.choice([0.02, 0.1, 0.25], (300, 1))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    i, j = vector_graph.robust_pruned(x)
+    assert np.bincount(i).max() <= vector_graph.DEGREE and (i != j).all()
+    d = ((x[:, None] - x[None, :]) ** 2).sum(2)
+    for a in range(0, 700, 50):  # by the definition
+        near = [b for b in np.argsort(d[a], kind="stable") if b != a][: vector_graph.CANDIDATES]
+        kept = []
+        for b in near:
+            if len(kept) < vector_graph.DEGREE and all(vector_graph.ALPHA**2 * d[k, b] > d[a, b] for k in kept):
+                kept.append(b)
+        assert set(j[i == a].tolist()) == set(kept)
+    want = x @ x.T >= 0.95
+    np.fill_diagonal(want, False)
+    near = np.zeros((700, 1), np.int32)
+    links, low = vector_graph.graph_links(x, np.ones(700), near, 0, (i, j), 0.95)
+    assert links.sum() >= 0.99 * want.sum() > 200 and (links <= want.sum(1)).all()
+    assert (vector_graph.graph_links(x, np.ones(700), near, 1, (i, j), 0.95)[0] == 0).all()  # counted in another shard
+
+
+@pytest.fixture(scope="module")
+def many_vectors():
+    """20,000 in 32 dimensions: alone, in small groups and one large one, with links across clusters."""
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(60, 32))
+    x = centres[rng.integers(0, 60, 20_000)] * 0.6 + rng.normal(size=(20_000, 32))
+    x[4000:9000] = x[rng.integers(0, 2000, 5000)] + rng.normal(size=(5000, 32)) * rng.choice([0.05, 0.2, 0.3], (5000, 1))
+    x[9000:9600] = x[1] + rng.normal(size=(600, 32)) * 0.1
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    n, a, b = np.zeros(20_000, int), [], []
+    for lo in range(0, 20_000, 1000):
+        hit = u[lo : lo + 1000] @ u.T >= 0.95
+        hit[np.arange(1000), np.arange(lo, lo + 1000)] = False
+        n[lo : lo + 1000] = hit.sum(1)
+        i, j = np.nonzero(hit)
+        a, b = [*a, i + lo], [*b, j]
+    return x, n, vector_graph.lowest(20_000, np.concatenate(a), np.concatenate(b))
+
+
+def test_vectors_by_the_graph(spark, monkeypatch, many_vectors):
+    monkeypatch.setattr(vector_graph, "HOME", 800)
+    x, n, low = many_vectors
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out, audit = vector_graph.vector_components(df)
+    got = {r.vec_id: r for r in out.collect()}
+    mine = np.array([got[i].n_links for i in range(20_000)])
+    assert audit["by"] == "graph" and audit["share"] >= vector_graph.RECALL
+    assert (mine <= n).all() and mine.sum() >= 0.98 * n.sum() and (mine[n > 0] / n[n > 0]).mean() >= 0.98
+    assert mine.sum() % 2 == 0  # a link counts at both ends
+    assert np.mean([got[i].component_id == low[i] for i in range(20_000)]) > 0.99
+
+
+def test_vectors_exactly_where_the_graph_finds_too_little(spark, monkeypatch, many_vectors):
+    monkeypatch.setattr(vector_graph, "HOME", 800)
+    monkeypatch.setattr(vector_graph, "RECALL", 1.01)
+    x, n, low = many_vectors
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out, audit = vector_graph.vector_components(df)
+    got = {r.vec_id: r for r in out.collect()}
+    assert audit["by"] == "exact comparison" and audit["true"] == audit["found"]
+    assert [got[i].n_links for i in range(20_000)] == n.tolist() and [got[i].component_id for i in range(20_000)] == low.tolist()
 
 
 def test_vectors_audit_is_loud(spark, monkeypatch):
     lose = vector_graph.in_range
+    monkeypatch.setattr(vector_graph, "MAX_SHARD", 60)
     monkeypatch.setattr(vector_graph, "in_range", lambda *a: ((lo, hit & (np.arange(hit.shape[1]) % 2 == 0)) for lo, hit in lose(*a)))
     rng = np.random.default_rng(7)
     x = rng.normal(size=8) + rng.normal(size=(120, 8)) * 0.02
@@ -165,7 +234,9 @@ def test_vectors_audit_is_loud(spark, monkeypatch):
 
 
 # ---- language model ----
-def test_forward_and_baum_welch_as_plain_loops():
+@pytest.mark.parametrize("most", [10**6, 50, 1])
+def test_forward_and_baum_welch_as_plain_loops(monkeypatch, most):
+    monkeypatch.setattr(hmm_lm, "BLOCK_TOKENS", most)  # stretches of any length
     rng = np.random.default_rng(1)
     h = hmm_lm.Hmm(rng.random(hmm_lm.CLASSES))
     seqs = [np.append(rng.integers(0, hmm_lm.CLASSES - 1, n), hmm_lm.END) for n in (0, 1, 31, 32, 33, 200)]
@@ -209,6 +280,42 @@ def test_lm_rows(spark, edges):
     assert hmm_lm.HiddenMarkovScorer(edges.limit(0)).scores().count() == 0
 
 
+@pytest.mark.parametrize("kind", ["int", "string", "bigint"])
+def test_lm_scores_as_plain_loops(spark, monkeypatch, kind):
+    """Every score of a whole table from the learnt matrices, word by word, without logarithms of blocks or classes by table."""
+    monkeypatch.setattr(hmm_lm, "CHUNK_CHARS", 60_000)
+    texts = [(r.doc_id, r.text) for r in table(spark, DATA, "documents").collect()] + [(1000, None), (1001, ""), (1002, "unseen words altogether"), (None, "a null id")]
+    d = spark.createDataFrame(texts, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    scorer = hmm_lm.HiddenMarkovScorer(d)
+    got = {r._id if r._id is None else int(r._id): r.score for r in scorer.scores().collect()}
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
+    words = lambda t: (t or "").encode().lower().decode().split()
+    c = Counter(w for i, t in texts if not held(i) for w in words(t))
+    top = {w: k for k, (w, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[: hmm_lm.TOP])}
+    cls = lambda w: top.get(w, hmm_lm.TOP + zlib.crc32(w[-3:].encode()) % hmm_lm.HASHED)
+    size, kinds = Counter(), Counter()
+    for w, n in c.items():
+        size[cls(w)] += n
+        kinds[cls(w)] += 1
+    h = scorer.hmm
+    assert len(scorer.log_likelihood) >= 2 and scorer.log_likelihood[1] >= scorer.log_likelihood[0]
+    for i, t in texts:
+        p, log = h.pi, 0.0
+        for w in [*words(t), None]:
+            k = hmm_lm.END if w is None else cls(w)
+            inside = 1.0 if w is None or w in top else (c[w] + 0.5) / (size[k] + 0.5 * (kinds[k] + 1))
+            a = p * h.e[k] * inside
+            log += math.log10(a.sum())
+            p = a / a.sum() @ h.a
+        assert abs(got[i] - log) < 1e-6 * max(1, abs(log)), i
+
+
+def test_lm_number_bounds(spark, monkeypatch):
+    monkeypatch.setattr(hmm_lm, "WORD_BITS", 2)
+    with pytest.raises(Exception, match="more partitions"):
+        hmm_lm.HiddenMarkovScorer(docs(spark, "more than four words in it"))
+
+
 # ---- mixing ----
 def test_schedule_keeps_within_one_block():
     shares = mixing.whole_weights({f"s{i}": (i + 1) ** 2 for i in range(20)}, 4096)
@@ -239,6 +346,53 @@ def test_mix_rows(spark, edges):
     assert total == len(slots)
     assert {r._id for r in mixing.mix(edges).collect()} == {1, 2, 3, None, 5, 6, 7} and mixing.mix(edges.limit(0)).count() == 0
     assert mixing.mixed(edges).columns == edges.columns and mixing.mixed(edges).count() >= len(EDGES)
+    assert mixing.mixed(edges.limit(0)).count() == 0
+
+
+def plain_schedule(sizes, block, temper=mixing.TEMPER):
+    """Slot by slot, without periods: the source whose released block has the earliest deadline, until all have given each row."""
+    shares = mixing.whole_weights({k: n**temper for k, n in sizes.items()}, mixing.PERIOD)
+    period, had, out = sum(shares.values()), dict.fromkeys(shares, 0), []
+    while any(had[k] * block < sizes[k] for k in shares):
+        slot = len(out)
+        ready = [(-(-(had[k] + 1) * period // a), i, k) for i, (k, a) in enumerate(shares.items()) if had[k] * period // a <= slot]
+        out.append(min(ready)[2])
+        had[out[-1]] += 1
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 3])
+def test_mix_as_plain_schedule(spark, block):
+    sources = ["a"] * 400 + ["b"] * 90 + ["c"] * 7 + [None] * 30
+    rows = [(i // 3, f"text {i // 2}", s) for i, s in enumerate(sources)]  # ids and whole rows repeat
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = plain_schedule(Counter(sources), block)
+    order = sorted(mixing.mix(d, block=block).collect(), key=lambda r: r.position)
+    assert [r.position for r in order] == list(range(block * len(want)))
+    assert [r._source for r in order[::block]] == want
+    out = mixing.mixed(d, block=block)
+    got = [tuple(r) for r in out.collect()]  # partitions in their order
+    assert [r[2] for r in got] == [s for s in want for _ in range(block)]
+    taken = Counter(got)
+    first = Counter(rows)
+    assert set(taken) == set(first) and all(taken[r] >= first[r] for r in first)
+    for s in ("a", "b", "c", None):  # a source's rows come in turn: none a second time before each came once
+        once = [r for r in got if r[2] == s][: sources.count(s)]
+        assert Counter(once) == Counter(r for r in rows if r[2] == s)
+
+
+def test_mix_bound(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    d = spark.createDataFrame([(i, f"s{i}") for i in range(4)], "doc_id long, source string")
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix(d)
+
+
+def test_mix_of_one_small_source_many_times(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SPREAD", 8)
+    d = spark.createDataFrame([(i, "big" if i else "one") for i in range(300)], "doc_id long, source string")
+    got = Counter(r.doc_id for r in mixing.mixed(d, weights={"big": 1.0, "one": 1.0}, block=1).collect())
+    assert got[0] in (298, 299) and all(got[i] == 1 for i in range(1, 300))
 
 
 # ---- licences ----
@@ -285,6 +439,68 @@ def test_quality_rows(spark, edges):
     assert quality_ordinal.train(edges.limit(0), labels(spark, edges))[1] == [0]
 
 
+def plain_features(text):
+    raw = (text or "").encode()
+    out, words = [0.0] * (quality_ordinal.WIDTH + quality_ordinal.SHAPES), raw.split()
+    if not words:
+        return out
+    for a, b, c in zip(raw, raw[1:], raw[2:]):
+        h = (a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) % 2**32
+        h = (h ^ h >> 15) * 0x2C1B3C6D % 2**32
+        out[h >> 21] += 1 / (len(raw) - 2)
+    n, at = len(words), quality_ordinal.WIDTH
+    for k, w in enumerate(words):
+        out[at + min(len(w), 63)] += 1 / n
+        out[at + 64 + min(w[-1], 127)] += 1 / n
+        out[at + 192] += (k > 0 and words[k - 1] == w) / n
+    out[at + 193 + min(int(20 * len(set(words)) / n), 20)] += 1 / 4
+    out[at + 220 + min(n.bit_length(), 20)] += 1 / 16
+    return [x**0.5 for x in out]
+
+
+def test_quality_as_plain(spark):
+    """The query on a whole table: features by plain loops, the model learnt on all labelled rows outside fold 0, scores by the formula."""
+    docs_, marked = table(spark, DATA, "documents").collect(), table(spark, DATA, "labels").collect()
+    texts = {r.doc_id: r.text for r in docs_}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    x = {i: np.array(plain_features(t)) for i, t in texts.items()}
+    assert all(np.allclose(x[i], quality_ordinal.features(t), atol=1e-6) for i, t in texts.items())
+    rows = [(r.doc_id, r.quality) for r in marked if r.doc_id in texts and not held(r.doc_id)]
+    model = quality_ordinal.OrdinalLogit().fit(np.array([x[i] for i, _ in rows]), np.array([y for _, y in rows]), 2)
+    for r in registry.QUERIES["op7_quality_classifier"](spark, DATA).collect():
+        p = 1 / (1 + math.exp(-(float(x[r.doc_id] @ model.w) - float(model.t[0]))))
+        assert abs(r.tail_probability - p) < 1e-3 and abs(r.expected_grade - p) < 1e-3 and r.held_out == held(r.doc_id)
+
+
+def test_ordinal_gradient_is_that_of_the_likelihood():
+    """The fit ends where the penalised likelihood of all grades, by differences, is flat."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 4))
+    y = np.digitize(x @ [1, -1, 0.5, 0] + rng.logistic(size=400), [-1, 1])
+    m = quality_ordinal.OrdinalLogit().fit(x, y, 3)
+
+    def loss(w, t):
+        p = 1 / (1 + np.exp(-((x @ w)[:, None] - t[None, :])))
+        above = y[:, None] > np.arange(2)[None, :]
+        return -np.log(np.where(above, p, 1 - p)).sum() / len(y) + quality_ordinal.DECAY / 2 * w @ w
+
+    for k in range(4):
+        d = np.eye(4)[k] * 1e-4
+        assert abs(loss(m.w + d, m.t) - loss(m.w - d, m.t)) / 2e-4 < 0.02
+    for k in range(2):
+        d = np.eye(2)[k] * 1e-4
+        assert abs(loss(m.w, m.t + d) - loss(m.w, m.t - d)) / 2e-4 < 0.02
+
+
+def test_quality_sample_bound(spark, monkeypatch):
+    monkeypatch.setattr(quality_ordinal, "MAX_TRAIN", 5)
+    taken = []
+    monkeypatch.setattr(quality_ordinal.OrdinalLogit, "fit", lambda self, x, y, g: taken.append(len(y)) or self)
+    d = docs(spark, *[f"text {k}" for k in range(60)], ids=[1] * 60)
+    quality_ordinal.train(d, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert taken == [5]
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.1"
     if not os.path.isdir(sf):
@@ -306,6 +522,57 @@ def test_binomial_tail(spark):
             assert k >= n * p and got == 1 or abs(got - want) < 1e-9 * max(want, 1e-3)
 
 
+def test_cutoffs_as_plain_python(spark):
+    """Several strata and rules admitted; the halves, the proposals, the tests and the cutoffs from the definition."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(12)
+    names = ["n_symbols", "word_chars", "n_marks", "n_words", "n_dup_lines", "n_lines", "n_repeat_words"]
+    rows, labelled = [], []
+    for i in range(9000):
+        stratum = ["en", "de", "fr", "es", "other"][min(i % 8, 4) if i % 8 < 4 else 0] if i < 8900 else "other"
+        good, words = bool(rng.random() < 0.6), 100
+        bad_kind = int(rng.integers(4)) if not good or stratum == "de" and rng.random() < 0.05 else -1  # good ones of 'de' look bad at times
+        rows.append((i, stratum, False, int(rng.integers(0, 8) if bad_kind != 0 else rng.integers(20, 200)), int(rng.normal(500, 40)) if bad_kind != 1 else 1300,
+                     int(rng.integers(0, 2)) if bad_kind != 2 else 60, words, int(rng.integers(0, 2)) if bad_kind != 3 else 9, 20, int(rng.integers(0, 6))))
+        labelled.append((i, int(good)))
+    schema = "_id long, stratum string, base_failed boolean, " + ", ".join(f"{n} long" for n in names)
+    got = {r.stratum: r for r in quality_rules.choose_cutoffs(spark.createDataFrame(rows, schema), spark.createDataFrame(labelled + labelled[:50], "doc_id long, quality int")).collect()}
+
+    value = {"symbols": lambda r: r["n_symbols"] / max(r["word_chars"], 1), "marks": lambda r: r["n_marks"] / r["n_words"], "dup_lines": lambda r: r["n_dup_lines"] / r["n_lines"],
+             "repeats": lambda r: r["n_repeat_words"] / r["n_words"], "long_words": lambda r: r["word_chars"] / r["n_words"], "short_words": lambda r: -r["word_chars"] / r["n_words"]}
+    y = dict(labelled)
+    alpha, level = Fraction(quality_rules.ALPHA).limit_denominator(1000), Fraction(quality_rules.DELTA).limit_denominator(1000) / 5
+    want = {}
+    for stratum in ("en", "de", "fr", "es", "other"):
+        mine = [dict(zip(["id", "stratum", "failed", *names], r)) for r in rows if r[1] == stratum]
+        first = [r for r in mine if hashlib.md5(str(r["id"]).encode()).hexdigest()[0] < "8"]
+        rest = [r for r in mine if r not in first and y[r["id"]] == 1]
+        found = []
+        for rule, _, cuts in quality_rules.RULES:
+            gains = [(sum(1 if y[r["id"]] == 0 else -quality_rules.WEIGHT for r in first if value[rule](r) > c), c) for c in cuts]
+            if max(gains)[0] > 0:
+                found.append((-max(gains)[0], rule, max(gains)[1]))
+        found.sort()
+        for n_rules in range(1, len(found) + 1):
+            k = sum(any(value[rule](r) > c for _, rule, c in found[:n_rules]) for r in rest)
+            tail = sum(math.comb(len(rest), j) * alpha**j * (1 - alpha) ** (len(rest) - j) for j in range(k + 1))
+            if k >= len(rest) * alpha or tail > level:
+                break
+            want[stratum] = (n_rules, len(rest), k, {rule: c for _, rule, c in found[:n_rules]})
+    assert {s: (r.n_rules, r.n, r.k, {x: r[f"_c_{x}"] for x, *_ in quality_rules.RULES if r[f"_c_{x}"] is not None}) for s, r in got.items()} == want
+    assert len(want) >= 3 and any(v[0] >= 3 for v in want.values()) and len({v[0] for v in want.values()}) > 1
+
+
+def test_rules_reject_in_every_column(spark):
+    """Queries and SQL where the method rejects more than the base."""
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    out = quality_rules.quality_rules(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    assert out.where("not base_failed and not kept").count() > 0
+
+
 def test_rules_measures(spark, edges):
     rep = "one two three four five six one two three four five end"
     d = docs(spark, rep, "# a\nb\n\n# a\n b", None, "a b c d e f g h i j k")
@@ -411,10 +678,45 @@ def test_toxicity_words_without_blanks():
 def test_toxicity_learns_from_whole_texts(spark, monkeypatch):
     taken = []
     monkeypatch.setattr(toxicity.SubwordSoftmax, "fit", lambda self, texts, y: taken.extend(texts))
+    monkeypatch.setattr(toxicity, "MAX_CLEAN", 3)
     d = docs(spark, " ".join(f"w{i}" for i in range(5000)), "fine")
     got = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(2)], "doc_id long, toxic int")
     toxicity.train(d, got, held_fold=9)
     assert sorted(map(len, taken)) == [1, 5000]
+    taken.clear()
+    toxicity.train(docs(spark, *[f"a{k}" for k in range(50)], ids=[1] * 50), got, held_fold=9)
+    assert len(taken) == 3  # the bound holds for rows of a repeated id
+
+
+def test_toxicity_as_plain_loops():
+    """Scores of whole texts, from the definition of windows, words and n-grams."""
+    rng = np.random.default_rng(10)
+    adds, bias = rng.normal(size=toxicity.BUCKETS), -0.3
+
+    def gram_hash(g):
+        h = 0
+        for c in g:
+            h = (h ^ ord(c)) * 0x100000001B3 % 2**64
+            h ^= h >> 29
+        return (h * 0x9E3779B97F4A7C15 % 2**64) >> 47
+
+    def whole_hash(g):
+        h = sum(ord(c) * ((i + 1) * 0xD6E8FEB86659FD93 % 2**64 | 1) for i, c in enumerate(g)) % 2**64
+        h ^= h >> 31
+        return (h * 0x9E3779B97F4A7C15 % 2**64) >> 47
+
+    def word_value(w):
+        w = f"<{w}>"
+        grams = [gram_hash(w[i : i + n]) for n in toxicity.GRAMS for i in range(len(w) - n + 1)] + [whole_hash(w)]
+        return sum(adds[g] for g in grams) / len(grams)
+
+    words = ["".join(rng.choice(list("abcdé日"), rng.integers(1, 12))) for _ in range(400)]
+    for n in (0, 1, 5, 16, 17, 24, 25, 100):
+        text = " ".join(str(w) for w in rng.choice(words, n)) + " ab ab"
+        bag = [word_value(w) for w in dict.fromkeys(text.split())]
+        starts = sorted({min(i, len(bag) - 16) for i in range(0, max(len(bag) - 8, 1), 8)}) if len(bag) > 16 else [0]
+        z = bias + max(sum(bag[s : s + 16]) / 16 for s in starts)
+        assert abs(toxicity.score_texts([text], adds, bias)[0] - 1 / (1 + math.exp(-z))) < 1e-9
 
 
 # ---- pipeline ----
@@ -430,7 +732,7 @@ def test_pipeline_stages(spark):
             assert {r.doc_id for r in after} == set(before)
         if name == "simhash near-dedup":
             comp = {r.doc_id: r.component_id for r in simhash.simhash_components(d).collect()}
-            assert {r.doc_id for r in after} == {i for i in before if comp[i] == i or not (before[i] or "").split()}
+            assert {r.doc_id for r in after} == {i for i in before if comp[i] == i}
         if name == "line dedup":
             assert {r.doc_id for r in after} == set(before) and all(r.n_chars == len(r.text) for r in after)
         if name == "byte-level bpe":
@@ -441,6 +743,33 @@ def test_pipeline_stages(spark):
     assert P.run(spark, DATA).count() == d.count()
 
 
+def test_pipeline_stages_on_edges(spark, edges):
+    """Nulls, blank and long texts, null and repeated ids, repeated rows, further columns with names of the operators' own, and no rows."""
+    import corpus_pipeline as P
+
+    d = edges.withColumns({"_score": F.lit(0.9), "_n_lines": F.lit("x"), "_copy": F.lit(1), "_row": F.lit(2), "position": F.lit(3), "_text": F.lit("t"), "a.b": F.lit(4)})
+    want = {"toxicity": len(EDGES), "line dedup": len(EDGES), "simhash near-dedup": 6}
+    for name, stage in P.STAGES:
+        out = stage(spark, d, DATA)
+        rows = P.staged(out, "test").collect()
+        if name == "byte-level bpe":
+            assert Counter(r.decoded_sha256 for r in rows) == Counter(hashlib.sha256((t or "").encode()).hexdigest() for t in EDGES)
+        else:
+            assert out.columns == d.columns and all(r["_score"] == 0.9 and r["_n_lines"] == "x" and r["_text"] == "t" and r["a.b"] == 4 for r in rows)
+        if name in want:
+            assert len(rows) == want[name]
+        if name == "mixing":
+            assert {(r.doc_id, r.text) for r in rows} == set(zip([1, 2, 3, None, 5, 6, 7, 7, None], EDGES))
+        assert stage(spark, d.limit(0), DATA).count() == 0
+
+
+def test_one_of_each_with_repeated_ids(spark):
+    """An id that stands for several texts keeps those that are the first of their own group."""
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abc"}
+    d = docs(spark, text["a"], text["b"], text["b"], text["c"], text["c"], text["a"], ids=[7, 7, 3, 9, 9, None])
+    assert sorted((r.doc_id, r.text[0]) for r in simhash.one_of_each(d).collect()) == [(3, "b"), (7, "a"), (9, "c")]
+
+
 def test_pipeline_keeps_one_wordless_row(spark):
     import corpus_pipeline as P
 

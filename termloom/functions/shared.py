@@ -22,17 +22,32 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Folders of written tables by application.
+_written: dict[str, list[str]] = {}
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet under :func:`shared_dir` and read back.
 
     Cuts the lineage, so a lost executor costs a reread and never the work before it; unlike a cache it takes no
-    executor memory and survives executors.
+    executor memory and survives executors. The table stays until :func:`drop_staged`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Deletes the tables that :func:`staged` has written in this application, once what is read from them is done; their number."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        at = hadoop(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

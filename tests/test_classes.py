@@ -73,3 +73,31 @@ def test_learns_words_and_terms_and_is_kept(spark, annotated, tmp_path):
     key = lambda r: (r.sample_id, r.label)
     a, b = (sorted(m.scores(both).collect(), key=key) for m in (model, again))
     assert a == b
+
+
+def test_regressions_end_where_the_penalised_likelihood_is_flat(spark):
+    """Of each class: the gradient of the mean loss is within the penalty where a weight is zero, and equal to it elsewhere."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for i in range(240):
+        label = "abc"[i % 3]
+        words = [label * 2] * int(rng.integers(0, 3)) + [w for w in ("xx", "yy", "zz") if rng.random() < 0.5]
+        rows += [(i, w) for w in words]
+        labels.append((i, label))
+    grams, lab = spark.createDataFrame(rows, "sample_id long, gram string"), spark.createDataFrame(labels, "sample_id long, label string")
+    model = L.OneVsRest(features=5, rounds=300).fit(grams, lab)
+    data = {r.sample_id: r.features.toArray() for r in model._vectors(grams).collect()}
+    x = np.array([data[i] for i in sorted(data)])
+    n = len(x)
+    for label, m in model.models.items():
+        y = np.array([dict(labels)[i] == label for i in sorted(data)], float)
+        p = 1 / (1 + np.exp(-(x @ m.coefficients.toArray() + m.intercept)))
+        g, w = x.T @ (p - y) / n, m.coefficients.toArray()
+        assert abs((p - y).mean()) < 1e-3 and (np.abs(g) <= 1 / n + 1e-3).all()
+        assert np.allclose(g[np.abs(w) > 1e-6], -np.sign(w[np.abs(w) > 1e-6]) / n, atol=1e-3) and (np.abs(w) > 1e-6).any()
+    got = {(r.sample_id, r.label): r.confidence for r in model.scores(grams).collect()}
+    for k, (label, m) in enumerate(model.models.items()):
+        p = 1 / (1 + np.exp(-(x @ m.coefficients.toArray() + m.intercept)))
+        assert all(abs(got[i, label] - p[at]) < 1e-9 for at, i in enumerate(sorted(data)))

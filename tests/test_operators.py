@@ -313,3 +313,14 @@ def test_override_resolve_and_first(spark):
     assert [tuple(r) for r in relational.first_per_group(rows, "study", "sample", F.col("label") == "TODO").collect()] == [("s", 4)]
     shown = spark.createDataFrame([("tissue",), (None,)], "c string").select(learning.class_name(F.col("c")))
     assert sorted(map(str, (r[0] for r in shown.collect()))) == ["None", "tissue"]
+
+
+def test_written_tables_are_dropped(spark, monkeypatch):
+    from termloom.functions import shared
+
+    monkeypatch.setattr(shared, "_written", {})
+    df = shared.staged(spark.range(5).toDF("x"), "dropped")
+    (path,) = shared._written[spark.sparkContext.applicationId]
+    assert df.count() == 5 and shared.drop_staged(spark) == 1 and shared.drop_staged(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

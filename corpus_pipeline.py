@@ -49,8 +49,10 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row stays, in the order of the schedule; rows of sources below their weight are there more than once.
+    """Every row stays; rows of sources below their weight are there more than once.
 
+    The written files, by name, follow the schedule, and each is a stretch of it in its order; Spark reads them again in
+    any order of files, each in its own, so that every part that it reads is mixed to the weights.
     Rows are told apart by themselves, so null and repeated ids make no difference; a null source is a source.
     """
     return mixing.mixed(docs)

@@ -91,7 +91,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Every row stays, with an empty text if it keeps no line. Nulls, empty texts and repeated rows: see
     :func:`line_drops`. Other columns pass through, whatever their names, save those two.
     """
-    drops = line_drops(docs, id_col, text_col, min_chars, min_docs).hint("shuffle_hash")
+    drops = line_drops(docs, id_col, text_col, min_chars, min_docs)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]  # held in one column, where no name can clash
     left = docs.select(F.struct(*others, F.lit(0).alias("_")).alias("_row"), F.col(f"`{id_col}`").alias("_key"), text.alias("_n_text")).withColumn("_n_hash", F.xxhash64("_n_text"))

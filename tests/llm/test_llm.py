@@ -1,14 +1,17 @@
+import glob
 import hashlib
 import math
 import os
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.functions import components
+from termloom.functions import components, shared
 from termloom.llm import byte_bpe, hmm_lm, license_scan, line_dedup, mixing, quality_ordinal, quality_rules, registry, simhash, toxicity, vector_graph
 from termloom.llm.common import table
 from termloom.operators import graph
@@ -222,6 +225,16 @@ def test_vectors_exactly_where_the_graph_finds_too_little(spark, monkeypatch, ma
     assert [got[i].n_links for i in range(20_000)] == n.tolist() and [got[i].component_id for i in range(20_000)] == low.tolist()
 
 
+def test_vectors_query_as_brute_force(spark):
+    rows = table(spark, DATA, "embeddings").collect()
+    u = np.array([r.embedding for r in rows], float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    got = {r.vec_id: r for r in registry.QUERIES["op3_vector_dedup"](spark, DATA).collect()}
+    assert [got[r.vec_id].n_links for r in rows] == link.sum(1).tolist() and len(got) == len(rows)
+
+
 def test_vectors_audit_is_loud(spark, monkeypatch):
     lose = vector_graph.in_range
     monkeypatch.setattr(vector_graph, "MAX_SHARD", 60)
@@ -638,6 +651,32 @@ def test_simhash_rows(spark, edges):
     assert simhash.simhash_components(edges.limit(0)).count() == 0
 
 
+def plain_fingerprint(text):
+    import xxhash
+
+    words = re.split("[ \t-\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").strip(" \t\n\x0b\x0c\r"))
+    words = [w for w in words if w]
+    grams = [words[i : i + 3] for i in range(len(words) - 2)] if len(words) > 2 else [words] if words else []
+    h = [xxhash.xxh64_intdigest(" ".join(g).encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_components(fps):
+    """The least id that chains of fingerprints three bits apart at most reach, by comparing all with all."""
+    ids, f = list(fps), np.array(list(fps.values()), np.uint64)
+    low = vector_graph.lowest(len(ids), *np.nonzero(np.bitwise_count(f[:, None] ^ f[None, :]) <= 3))
+    return {i: min(ids[k] for k in np.flatnonzero(low == low[at])) for at, i in enumerate(ids)}
+
+
+def test_simhash_query_as_brute_force(spark):
+    texts = {r.doc_id: r.text for r in table(spark, DATA.replace("0.001", "0.01"), "documents").collect()}
+    fps = {i: plain_fingerprint(t) for i, t in texts.items()}
+    want = plain_components(fps)
+    got = registry.QUERIES["op8_simhash_dedup"](spark, DATA.replace("0.001", "0.01")).collect()
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in got} == {(i, f"{fps[i]:016x}", want[i]) for i in texts} and len(got) == len(texts)
+    assert len(set(want.values())) < len(texts)
+
+
 # ---- toxicity ----
 def test_toxicity_held_out_and_misspellings(spark):
     rng = np.random.default_rng(8)
@@ -743,6 +782,51 @@ def test_pipeline_stages(spark):
     assert P.run(spark, DATA).count() == d.count()
 
 
+def plain_line_dedup(texts):
+    """By the contract: keys of 40 code points at least in five documents at least stay in the largest id that holds them."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(lower)
+    of = {}
+    for i, t in texts.items():
+        for line in (t or "").split("\n"):
+            of.setdefault(key(line), set()).add(i)
+    gone = lambda i, k: len(k) >= 40 and len(of[k]) >= 5 and i != max(of[k])
+    return {i: "\n".join(line for line in (t or "").split("\n") if not gone(i, key(line))) for i, t in texts.items()}
+
+
+def test_pipeline_as_plain(spark):
+    """All stages by plain versions, from the texts to the ids, in the order of the schedule."""
+    import tiktoken
+
+    import corpus_pipeline as P
+
+    d = table(spark, DATA, "documents")
+    rows = {r.doc_id: r for r in d.collect()}
+    adds, bias = toxicity.train(d, table(spark, DATA, "labels")).table()
+    ids = list(rows)
+    scores = toxicity.score_texts([rows[i].text for i in ids], adds.astype(np.float32), bias)
+    texts = plain_line_dedup({i: rows[i].text for i, s in zip(ids, scores) if s < 0.5})
+    component = plain_components({i: plain_fingerprint(t) for i, t in texts.items()})
+    kept = {i: t for i, t in texts.items() if component[i] == i}
+    sizes = Counter(rows[i].source for i in kept)
+    order = [s for s in plain_schedule(sizes, mixing.BLOCK) for _ in range(mixing.BLOCK)]
+    tokens, pattern = byte_bpe.default_vocabulary()
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    got = P.run(spark, DATA).collect()
+    (path,) = [p for p in shared._written[spark.sparkContext.applicationId] if "/pipeline-mixing-" in p][-1:]
+    files = sorted(glob.glob(path.removeprefix("file:") + "/part-*"))
+    mixed = [i for f in files for i in pq.read_table(f, columns=["doc_id"]).column(0).to_pylist()]  # files by name
+    assert [rows[i].source for i in mixed] == order and Counter(mixed) == Counter(r.doc_id for r in got)
+    for s, n in sizes.items():
+        mine = [i for i in mixed if rows[i].source == s]
+        for lo in range(0, len(mine), n):  # epoch by epoch, each row once
+            assert len(set(mine[lo : lo + n])) == len(mine[lo : lo + n]) and set(mine[lo : lo + n]) <= set(kept)
+        assert set(mine[:n]) == {i for i in kept if rows[i].source == s}
+    for r in got:
+        want = np.array(enc.encode_ordinary(kept[r.doc_id]), "<u4").tobytes()
+        assert bytes(r.token_ids) == want and r.decoded_sha256 == hashlib.sha256(kept[r.doc_id].encode()).hexdigest()
+
+
 def test_pipeline_stages_on_edges(spark, edges):
     """Nulls, blank and long texts, null and repeated ids, repeated rows, further columns with names of the operators' own, and no rows."""
     import corpus_pipeline as P

@@ -33,18 +33,23 @@ TEMPER = 0.8
 
 
 def whole_weights(weights: dict, period: int) -> dict:
-    """Whole numbers of sum ``period``, at least 1 each, nearest to ``weights`` by largest remainders."""
+    """Whole numbers of sum ``period``, at least 1 each, nearest to ``weights`` by largest remainders; no more weights than ``period``."""
     total = sum(weights.values())
     names = sorted(weights, key=lambda k: (k is not None, k))
     exact = {k: weights[k] / total * period for k in names}
     out = {k: max(1, int(exact[k])) for k in names}
     order = sorted(names, key=lambda k: -(exact[k] - int(exact[k])))
-    for k in order:
-        if sum(out.values()) >= period:
-            break
+    for k in order[: max(0, period - sum(out.values()))]:
         out[k] += 1
-    while sum(out.values()) > period:
-        out[max(names, key=lambda k: (out[k] - exact[k], out[k]))] -= 1
+    over = sum(out.values()) - period
+    high = [(exact[k] - out[k], -out[k], i) for i, k in enumerate(names) if out[k] > 1]
+    heapq.heapify(high)
+    for _ in range(over):  # those raised to 1 stay; the others give back, the furthest above its weight first
+        _, _, i = heapq.heappop(high)
+        k = names[i]
+        out[k] -= 1
+        if out[k] > 1:
+            heapq.heappush(high, (exact[k] - out[k], -out[k], i))
     return out
 
 

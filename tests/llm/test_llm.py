@@ -339,6 +339,18 @@ def test_schedule_keeps_within_one_block():
         assert np.abs(had - shares[k] * np.arange(4097) / 4096).max() < 1
 
 
+def test_weights_of_very_many_small_sources():
+    weights = {f"s{i}": 1e-9 for i in range(60_000)} | {"big": 1.0, "other": 0.5, None: 0.25}
+    shares = mixing.whole_weights(weights, 4 * len(weights))
+    assert sum(shares.values()) == 4 * len(weights) and min(shares.values()) == 1
+    left = 4 * len(weights) - 60_000
+    assert all(abs(shares[k] - weights[k] / 1.75 * 4 * len(weights)) <= 60_003 for k in ("big", "other", None)) and shares["big"] + shares["other"] + shares[None] == left
+    small = mixing.whole_weights({"a": 1.0, "b": 1.0, "c": 1.0}, 4096)
+    assert sorted(small.values()) == [1365, 1365, 1366]
+    slots = mixing.pfair_period(shares)
+    assert sum(map(len, slots.values())) == 4 * len(weights)
+
+
 def test_mix_rows(spark, edges):
     d = table(spark, DATA, "documents")
     rows = mixing.mix(d, block=4).collect()

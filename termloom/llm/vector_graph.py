@@ -39,7 +39,8 @@ from termloom.functions.components import connected_components
 from termloom.functions.shared import staged
 from termloom.llm.common import narrow, table
 
-SAMPLE, MAX_CLUSTERS, MAX_SHARD = 20_000, 2048, 12_288
+#: Sampled classes that centroids are fitted on, or four a centroid if that is more (65,536 at the most).
+SAMPLE, MAX_CLUSTERS, MAX_SHARD = 20_000, 16_384, 12_288
 #: Classes at home in a cluster, in the mean, while there are clusters enough.
 HOME, OVERLAP = 2048, 3
 CANDIDATES, DEGREE, ALPHA = 48, 32, 1.2
@@ -73,14 +74,14 @@ def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def fit_centroids(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
-    rng = np.random.default_rng(11)
-    c = x[rng.choice(len(x), k, replace=False)].copy()
-    for _ in range(rounds if k > 1 else 0):
-        at = np.concatenate([(x[i : i + 2048] @ c.T).argmax(1) for i in range(0, len(x), 2048)])
-        for j in range(k):
-            if (mine := x[at == j]).size:
-                s = mine.sum(0)
-                c[j] = s / max(np.linalg.norm(s), 1e-12)
+    """Unit vectors, ``k`` at the most; a centroid that nothing is nearest to stays where it was."""
+    c = x[np.random.default_rng(11).choice(len(x), k, replace=False)].copy()
+    for _ in range(rounds if 1 < k <= 2048 else 2 if k > 1 else 0):
+        at = np.concatenate([(x[i : i + 256] @ c.T).argmax(1) for i in range(0, len(x), 256)])
+        order = np.argsort(at, kind="stable")
+        begin = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
+        s = np.add.reduceat(x[order], begin)
+        c[at[order][begin]] = s / np.maximum(np.linalg.norm(s, axis=1, keepdims=True), 1e-12)
     return c
 
 
@@ -118,14 +119,30 @@ def in_range(q: np.ndarray, x: np.ndarray, threshold: float) -> Iterator[tuple[i
         yield lo, hit
 
 
-def probes(v: np.ndarray, c: np.ndarray, threshold: float) -> tuple[int, np.ndarray, np.ndarray]:
-    """The home cluster of ``v``, whether each cluster can hold a vector in range of it, and its cosines to the centroids, which are unit vectors."""
-    s = c @ v
-    home = int(s.argmax())
+def placements(v: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The home cluster of each row of ``v`` and its ``OVERLAP`` nearest clusters, -1 in place of those that can hold no link of it."""
+    homes, nears = [], []
+    few = min(OVERLAP, len(c))
+    angle = np.sqrt(max(1 - threshold**2, 0))
+    for lo in range(0, len(v), BLOCK):
+        s = v[lo : lo + BLOCK] @ c.T
+        row = np.arange(len(s))[:, None]
+        top = np.argpartition(-s, few - 1, 1)[:, :few] if few < len(c) else np.tile(np.arange(len(c)), (len(s), 1))
+        home = s.argmax(1)
+        gap = np.sqrt(np.maximum(((c[top] - c[home][:, None]) ** 2).sum(2), 0))
+        can = (s[row, home[:, None]] - s[row, top] <= gap * angle + 1e-9) | (threshold <= 0)
+        homes.append(home)
+        nears.append(np.where(can, top, -1))
+    return np.concatenate(homes), np.concatenate(nears)
+
+
+def probes(v: np.ndarray, c: np.ndarray, home: int, threshold: float) -> np.ndarray:
+    """Whether each cluster can hold a vector in range of ``v``, at home in ``home``. Centroids are unit vectors."""
     if threshold <= 0:
-        return home, np.ones(len(c), bool), s
+        return np.ones(len(c), bool)
+    s = c @ v
     gap = np.sqrt(np.maximum(((c - c[home]) ** 2).sum(1), 0))
-    return home, s[home] - s <= gap * np.sqrt(max(1 - threshold**2, 0)) + 1e-9, s
+    return s[home] - s <= gap * np.sqrt(max(1 - threshold**2, 0)) + 1e-9
 
 
 def _audit(classes: DataFrame, per_node: DataFrame, threshold: float) -> dict:
@@ -310,8 +327,23 @@ def _graph_hits(member: DataFrame, threshold: float) -> DataFrame:
     return staged(asking.groupBy("dim", "shard").applyInPandas(search, "node string, links long, root string"), "vec-graph-hits")
 
 
-def _exact_hits(member: DataFrame, threshold: float) -> DataFrame:
-    """``(node, links, root)`` by comparison in blocks; ``member (node, m, v, home, asks)``."""
+def _exact_hits(member: DataFrame, held, threshold: float) -> DataFrame:
+    """``(node, links, root)`` by comparison in blocks; ``member (node, dim, m, v, home)``, ``held``: the broadcast centroids."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            homes, asks = [], []
+            for dim, v, h in zip(*(batch.column(k).to_pylist() for k in (1, 3, 4))):
+                c = held.value.get(dim)
+                can = np.ones(1, bool) if c is None else probes(np.frombuffer(v), c, h, threshold)
+                homes.append(f"{dim}/{h}")
+                # of two clusters the same one always asks: half of all others for each
+                asks.append([f"{dim}/{k}" for k in np.flatnonzero(can) if k == h or (k < h) == ((k + h) % 2 == 0)])
+            cols = [batch.column(0), batch.column(2), batch.column(3), pa.array(homes, pa.string()), pa.array(asks, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "m", "v", "home", "asks"])
+
+    rows = member.select("node", "dim", "m", "v", "home").mapInArrow(ask, "node string, m long, v binary, home string, asks array<string>")
+    member = staged(rows, "vec-askers")
     at_home = member.groupBy(F.col("home").alias("shard")).agg(F.count("*").alias("n_to"))
     askers = member.select(F.explode("asks").alias("shard")).groupBy("shard").agg(F.count("*").alias("n_from"))
     # a row a cluster
@@ -369,31 +401,32 @@ def vector_components(vectors: DataFrame, threshold: float = 0.95, id_col: str =
         "vec-classes",
     )
     total = classes.count()
-    sample = classes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("dim", "v").collect()
+    clusters = min(MAX_CLUSTERS, max(1, round(total / HOME)))
+    sample = classes.orderBy(F.xxhash64("node"), "node").limit(max(SAMPLE, 4 * clusters)).select("dim", "v").collect()
     centroids: dict[int, np.ndarray] = {}
     for dim in {r["dim"] for r in sample}:
         x = _matrix([bytes(r["v"]) for r in sample if r["dim"] == dim])
-        n = total * len(x) / len(sample)
-        centroids[dim] = fit_centroids(x, min(MAX_CLUSTERS, max(1, len(x) // 4), max(1, round(n / HOME))))
-    held = spark.sparkContext.broadcast(centroids)
+        centroids[dim] = fit_centroids(x, max(1, min(round(clusters * len(x) / len(sample)), len(x) // 4)))
+    held = spark.sparkContext.broadcast(centroids)  # of a length outside the sample all are in one cluster
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            homes, asks, nears = [], [], []
-            for dim, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                c = held.value.get(dim)  # a length outside the sample has one cluster
-                h, can, s = (0, np.ones(1, bool), np.zeros(1)) if c is None else probes(np.frombuffer(v), c, threshold)
-                homes.append(f"{dim}/{h}")
-                nears.append(sorted(np.flatnonzero(can)[np.argsort(-s[can], kind="stable")[:OVERLAP]].tolist()))
-                # of two clusters the same one always asks: half of all others for each
-                asks.append([f"{dim}/{k}" for k in np.flatnonzero(can) if k == h or (k < h) == ((k + h) % 2 == 0)])
-            cols = [batch.column(0), pa.array(homes, pa.string()), pa.array(asks, pa.list_(pa.string())), pa.array(nears, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, ["node", "home", "asks", "near"])
+            dims = np.array(batch.column(1).to_pylist())
+            homes, nears = np.zeros(len(dims), np.int64), np.full((len(dims), OVERLAP), -1)
+            nears[:, 0] = 0
+            for dim in set(dims.tolist()) & set(held.value):
+                at = np.flatnonzero(dims == dim)
+                c = held.value[dim]
+                homes[at], near = placements(_matrix(batch.column(2).take(pa.array(at)).to_pylist()), c, threshold)
+                nears[at] = -1
+                nears[at, : near.shape[1]] = near
+            cols = [batch.column(0), pa.array(homes, pa.int32()), pa.array([[k for k in sorted(row) if k >= 0] for row in nears.tolist()], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "home", "near"])
 
     if not total:
         return units.select(F.col("_id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.col("_id").isNotNull().alias("kept")), {"true": 0, "found": 0, "share": 1.0, "by": "graph"}
-    placed = classes.select("node", "dim", "v").mapInArrow(assign, "node string, home string, asks array<string>, near array<int>")
-    member = staged(classes.join(placed, "node").select("node", "dim", "m", "v", "home", "asks", "near"), "vec-members")
+    placed = classes.select("node", "dim", "v").mapInArrow(place, "node string, home int, near array<int>")
+    member = staged(classes.join(placed, "node").select("node", "dim", "m", "v", "home", "near"), "vec-members")
     largest = member.select("dim", F.explode("near").alias("shard")).groupBy("dim", "shard").count().agg(F.max("count")).first()[0]
     audit: dict = {}
     if largest <= MAX_SHARD:
@@ -402,7 +435,7 @@ def vector_components(vectors: DataFrame, threshold: float = 0.95, id_col: str =
         audit = _audit(classes, per_node, threshold)
         audit["by"] = "graph"
     if not audit or min(audit["found"], audit["share"] * audit["true"]) < RECALL * audit["true"]:
-        linked = _exact_hits(member, threshold)
+        linked = _exact_hits(member, held, threshold)
         per_node = staged(linked.groupBy("node").agg(F.sum("links").alias("links")), "vec-links")
         graph, audit = audit.get("found"), _audit(classes, per_node, threshold)
         audit |= {"by": "exact comparison", "found by the graph": graph}

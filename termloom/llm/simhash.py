@@ -35,7 +35,7 @@ GENERATOR = 0xAE3
 #: First bit and width of each segment.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 BATCH_ROWS = 200_000
-SMALL_RUN = 48
+SMALL_RUN, LARGE_RUN = 48, 4096
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -126,6 +126,19 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[low[moved]]
 
 
+def alike(fps: np.ndarray) -> Iterator[np.ndarray]:
+    """Groups of distinct fingerprints that hold every two of them three bits apart at most: all, or where these are many, those with an equal quarter."""
+    if len(fps) <= LARGE_RUN:
+        yield fps
+        return
+    for at in range(0, 64, 16):  # three bits leave one of four quarters as it is
+        quarter = fps >> np.uint64(at) & np.uint64(0xFFFF)
+        order = np.argsort(quarter, kind="stable")
+        for run in np.split(fps[order], np.flatnonzero(np.diff(quarter[order])) + 1):
+            if len(run) > 1:
+                yield run
+
+
 def linked(key: np.ndarray, fps: np.ndarray, stored: np.ndarray, bits: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Roots of the verified links between rows of equal key; ``key`` is sorted."""
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
@@ -144,14 +157,14 @@ def linked(key: np.ndarray, fps: np.ndarray, stored: np.ndarray, bits: int = 3)
         found_a.append(p[ok])
         found_b.append(q[ok])
     for k in np.flatnonzero(use & (size > SMALL_RUN)):
-        group = np.unique(fps[start[k] : start[k] + size[k]])
-        for at in range(0, len(group), 1024):
-            block = group[at : at + 1024]
-            for to in range(at, len(group), 1024):
-                i, j = np.nonzero(np.bitwise_count(block[:, None] ^ group[None, to : to + 1024]) <= bits)
-                a, b = roots(block[i], group[to + j])
-                found_a.append(a)
-                found_b.append(b)
+        for group in alike(np.unique(fps[start[k] : start[k] + size[k]])):
+            for at in range(0, len(group), 1024):
+                block = group[at : at + 1024]
+                for to in range(at, len(group), 1024):
+                    i, j = np.nonzero(np.bitwise_count(block[:, None] ^ group[None, to : to + 1024]) <= bits)
+                    a, b = roots(block[i], group[to + j])
+                    found_a.append(a)
+                    found_b.append(b)
     if not found_a or not sum(map(len, found_a)):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     return roots(np.concatenate(found_a), np.concatenate(found_b))

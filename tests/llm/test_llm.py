@@ -680,6 +680,22 @@ def plain_components(fps):
     return {i: min(ids[k] for k in np.flatnonzero(low == low[at])) for at, i in enumerate(ids)}
 
 
+@pytest.mark.parametrize("large", [4096, 20])
+def test_links_of_a_hot_key_as_brute_force(monkeypatch, large):
+    monkeypatch.setattr(simhash, "LARGE_RUN", large)
+    rng = np.random.default_rng(16)
+    fps = rng.integers(0, 2**62, 700, dtype=np.uint64)
+    for n in range(1, 5):
+        fps[100 * n : 100 * n + 100] = fps[:100]
+        for b in range(n):
+            fps[100 * n : 100 * n + 100] ^= np.uint64(1) << (rng.integers(0, 16, 100) + 16 * b).astype(np.uint64)
+    fps = np.unique(fps)
+    a, b = simhash.linked(np.zeros(len(fps), np.int64), fps, np.ones(len(fps), bool))
+    got = dict(zip(a.tolist(), b.tolist()))
+    low = vector_graph.lowest(len(fps), *np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3))
+    assert [got.get(int(x), int(x)) for x in fps] == fps[low].tolist() and len(got) > 200
+
+
 def test_simhash_query_as_brute_force(spark):
     texts = {r.doc_id: r.text for r in table(spark, DATA.replace("0.001", "0.01"), "documents").collect()}
     fps = {i: plain_fingerprint(t) for i, t in texts.items()}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from termloom.llm.common import narrow, table
 
 #: Distinct pre-tokens that a task remembers; beyond it the memory starts anew, which costs time only.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 
 
 def read_ranks(path: str) -> list[bytes]:

@@ -174,12 +174,13 @@ class OneVsRest:
 
     def fit(self, grams: DataFrame, labels: DataFrame, stop_words: DataFrame | None = None) -> "OneVsRest":
         """``grams (sample_id, gram)`` as :func:`features` gives them; ``labels (sample_id, label)``; ``stop_words (gram)``."""
-        grams = grams.join(labels.select("sample_id").distinct(), "sample_id", "left_semi")
-        presence = grams.distinct()
-        vocab = vocabulary(grams, self.above, stop_words).select("gram")
-        chosen = top_features(mutual_information(presence.join(vocab, "gram", "left_semi"), labels), self.features)
+        own = grams.join(labels.select("sample_id").distinct(), "sample_id", "left_semi")
+        counts = staged(own.groupBy("sample_id", "gram").agg(F.count("*").cast("int").alias("n")), "training-counts")  # texts are read once
+        frequent = counts.groupBy("gram").count().where(F.col("count") > self.above).select("gram")
+        vocab = frequent.join(stop_words, "gram", "left_anti") if stop_words is not None else frequent
+        chosen = top_features(mutual_information(counts.join(vocab, "gram", "left_semi"), labels), self.features)
         self.names = sorted({r["gram"] for r in chosen.select("gram").distinct().collect()})  # classes x features at most
-        data = staged(self._vectors(grams).join(labels, "sample_id"), "training")
+        data = staged(self._vectors(counts.select("sample_id", "gram", "n")).join(labels, "sample_id"), "training")
         n = max(data.count(), 1)
         self.models = {}
         for label in sorted(r["label"] for r in labels.select("label").distinct().collect()):
@@ -188,11 +189,16 @@ class OneVsRest:
         return self
 
     def _vectors(self, grams: DataFrame) -> DataFrame:
-        """A vector for each sample with a gram, all zeros where it has no feature; other grams aren't gathered."""
+        """A vector for each sample with a gram, all zeros where it has no feature; other grams aren't gathered.
+
+        ``grams (sample_id, gram)`` with a row for each occurrence, or with their number ``n``.
+        """
         names = self.names or ["\x00"]
         model = CountVectorizerModel.from_vocabulary(names, "grams", "features")
-        known = F.when(F.col("gram").isin(*names), F.col("gram"))
-        return model.transform(grams.groupBy("sample_id").agg(F.collect_list(known).alias("grams"))).select("sample_id", "features")
+        known = F.col("gram").isin(*names)
+        each = F.array_repeat("gram", F.col("n")) if "n" in grams.columns else F.array("gram")
+        lists = grams.groupBy("sample_id").agg(F.flatten(F.collect_list(F.when(known, each))).alias("grams"))
+        return model.transform(lists).select("sample_id", "features")
 
     def scores(self, grams: DataFrame) -> DataFrame:
         """``(sample_id, label, confidence)``: each class's own probability. Vectors are made once for all classes."""

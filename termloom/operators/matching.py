@@ -73,12 +73,13 @@ def fuzzy_match(tokens: DataFrame, dictionary: DataFrame, tok: str = "tok", shor
         .select("tok", "size", "p", F.expr("substring(tok, at + 1, n)").alias("piece"))
         .distinct()
     )
-    near = asking.join(stored.join(common, key, "left_anti"), key).select("tok", "s")
+    # sizes aren't estimated through explode: without the hint many rows could be broadcast as few
+    near = asking.hint("merge").join(stored.join(common, key, "left_anti"), key).select("tok", "s")
     some = 1 / ratio * most - most  # shorter strings are within one edit at most
     left = lambda c: F.explode(F.expr(f"case when length({c}) >= {some} then {_shortened(c, most)} else {_shortened(c, min(most, 1))} end")).alias("left")
     of_common = stored.join(common, key, "left_semi").select("s").distinct().select("s", left("s"))
     for_common = asking.join(common, key, "left_semi").select("tok").distinct().select("tok", left("tok"))
-    near = near.unionByName(for_common.join(of_common, "left").select("tok", "s")).distinct()
+    near = near.unionByName(for_common.hint("merge").join(of_common, "left").select("tok", "s")).distinct()
     far = near.where("tok <> s").withColumn("edit_dist", F.levenshtein("tok", "s", most))
     longer = F.greatest(F.length("tok"), F.length("s"))
     found = far.where((F.col("edit_dist") >= 0) & (F.col("edit_dist") / longer <= ratio) & (F.abs(F.length("tok") - F.length("s")) / longer <= ratio))

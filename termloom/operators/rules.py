@@ -44,8 +44,9 @@ def _around(intervals: DataFrame, keys: list[str]) -> DataFrame:
     level = F.expr("int(ceil(log2(greatest(`end` - start, 1))))")
     sized = intervals.withColumn("_k", level).withColumn("_top", F.max("_k").over(Window.partitionBy(*keys)))
     big = sized.select(*keys, "_k", F.col("start").alias("s2"), F.col("end").alias("e2"), F.explode(F.expr("array_distinct(array(shiftright(start, _k), shiftright(greatest(`end` - 1, start), _k)))")).alias("_cell"))
+    # sizes aren't estimated through explode: without the hint below many rows could be broadcast as few
     small = sized.select(*keys, "start", "end", F.explode(F.sequence("_k", "_top")).alias("_k")).withColumn("_cell", F.expr("shiftright(start, _k)"))
-    met = small.join(big, [*keys, "_k", "_cell"]).where("s2 <= start and e2 >= `end` and (s2 < start or e2 > `end`)")
+    met = small.hint("merge").join(big, [*keys, "_k", "_cell"]).where("s2 <= start and e2 >= `end` and (s2 < start or e2 > `end`)")
     return met.select(*keys, "start", "end", "s2", "e2")
 
 

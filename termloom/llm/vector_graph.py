@@ -46,7 +46,7 @@ HOME, OVERLAP = 2048, 3
 CANDIDATES, DEGREE, ALPHA = 48, 32, 1.2
 #: A class in range of more than this share of a shard is compared with all of it.
 DENSE = 1 / 32
-AUDITED, RECALL, BLOCK = 512, 0.97, 256
+AUDITED, RECALL, BLOCK = 1024, 0.97, 256
 
 
 def _matrix(v) -> np.ndarray:
@@ -157,11 +157,15 @@ def _audit(classes: DataFrame, per_node: DataFrame, threshold: float) -> dict:
             for dim, (nodes, q) in held.value.items():
                 if not (mine := np.flatnonzero(of == dim)).size:
                     continue
-                row = batch.take(pa.array(mine))
-                there, m = row.column(0).to_pylist(), row.column(2).to_numpy()
-                hit = q @ _matrix(row.column(3).to_pylist()).T >= threshold
-                hit &= np.array(nodes, object)[:, None] != np.array(there, object)[None, :]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array((hit * m).sum(1), pa.int64())], ["node", "n"])
+                number, n = {node: i for i, node in enumerate(nodes)}, np.zeros(len(nodes))
+                for lo in range(0, len(mine), 1000):
+                    row = batch.take(pa.array(mine[lo : lo + 1000]))
+                    hit = q @ _matrix(row.column(3).to_pylist()).T >= threshold
+                    for j, node in enumerate(row.column(0).to_pylist()):
+                        if (i := number.get(node)) is not None:
+                            hit[i, j] = False
+                    n += hit @ row.column(2).to_numpy().astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(n.astype(np.int64))], ["node", "n"])
 
     true = {r["node"]: r["n"] for r in classes.select("node", "dim", "m", "v").mapInArrow(run, "node string, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()}
     found = {r["node"]: r["links"] for r in per_node.where(F.col("node").isin(list(true))).collect()}

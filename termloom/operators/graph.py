@@ -47,6 +47,31 @@ def closure_of_all(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> Data
     return above.unionByName(own.select("term_id", F.col("term_id").alias("ancestor")))
 
 
+def handed_down(edges: DataFrame, marks: DataFrame, rounds: int = 60) -> DataFrame:
+    """``(term_id, mark)``: the marks of a term and of all above it over ``edges (child, parent)``; cycles are no harm.
+
+    By doubling, without the closure: after k rounds a term has the marks of all less than 2^k steps above it, and
+    ``jump`` leads exactly 2^k steps up, in a tree a row a term. Rows are those of the result and of the jumps.
+    """
+    jump = staged(edges.select("child", "parent").where("child <> parent").distinct(), "jumps")
+    all_ = staged(marks.select("term_id", "mark").distinct(), "marks")
+    size = all_.count()
+    for _ in range(rounds):
+        if jump.isEmpty():
+            break
+        above = all_.select(F.col("term_id").alias("parent"), "mark")
+        down = jump.join(above, "parent").select(F.col("child").alias("term_id"), "mark")
+        all_ = staged(all_.unionByName(down).distinct(), "marks")
+        before, size = size, all_.count()
+        if size == before:
+            break
+        on = jump.select(F.col("child").alias("parent"), F.col("parent").alias("further"))
+        jump = staged(jump.join(on, "parent").select("child", F.col("further").alias("parent")).distinct(), "jumps")
+    else:
+        raise RuntimeError(f"chains of 2^{rounds} edges or more")
+    return all_
+
+
 def subtree(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """``(term_id)``: the roots and all below them."""
     flipped = edges.select(F.col("parent").alias("child"), F.col("child").alias("parent"))

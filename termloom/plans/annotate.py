@@ -315,8 +315,25 @@ def with_ancestors(mapped: DataFrame, edges: DataFrame) -> DataFrame:
     return mapped.join(up, "term_id").groupBy("sample_id").agg(F.sort_array(F.collect_set("ancestor")).alias("terms"))
 
 
+#: Ids of a class that go side by side in one row, in the mean.
+MEMBERS = 1000
+
+
 def link_tables(names: DataFrame, edges: DataFrame, a_space: str, b_space: str) -> DataFrame:
-    """``(term_id, linked_id)`` between two id spaces by equal strings, handed down to all terms below."""
-    pick = lambda x: names.where(F.startswith("term_id", F.lit(x + ":")))
-    links = R.linked_terms(pick(a_space), pick(b_space)).select(F.col("b_id").alias("term_id"), F.col("a_id").alias("linked_id"))
-    return R.superterm_links(G.closure_of_all(edges, names.select("term_id").distinct()), links)
+    """``(term_id, linked_id)`` between two id spaces by equal strings, handed down to all terms below.
+
+    There are as many rows as pairs, which grow with the square of the terms that share a string. So strings are handed
+    down instead of links, terms of a with the same strings are a class, and the last join alone writes out pairs: a row
+    for each ``MEMBERS`` of them is shuffled, and none is there twice, as each id is in one class.
+    """
+    of = lambda space, c: names.where(F.startswith("term_id", F.lit(space + ":")) & F.col("target").isin("TERM_NAME", "EXACT")).select("s", F.col("term_id").alias(c)).where("s is not null")
+    a, b = of(a_space, "linked_id"), of(b_space, "term_id")
+    sets = staged(a.join(b.select("s"), "s", "left_semi").groupBy("linked_id").agg(F.sort_array(F.collect_set("s")).alias("strings")), "string-sets")
+    classes = staged(sets.groupBy("strings").agg(F.min("linked_id").alias("class"), F.expr(f"(count(*) + {MEMBERS - 1}) div {MEMBERS}").alias("chunks")), "classes")
+    members = sets.join(classes, "strings").groupBy("class", F.expr("pmod(xxhash64(linked_id), chunks)").alias("chunk")).agg(F.collect_list("linked_id").alias("linked"))
+    by_string = classes.select(F.explode("strings").alias("mark"), "class", "chunks")
+    own = b.join(by_string.select(F.col("mark").alias("s")), "s", "left_semi").select("term_id", F.col("s").alias("mark"))
+    below = G.handed_down(edges, own).join(names.select("term_id"), "term_id", "left_semi")
+    asked = below.join(by_string, "mark").select("term_id", "class", "chunks").distinct()
+    asked = asked.select("term_id", "class", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"))
+    return asked.join(members, ["class", "chunk"]).select("term_id", F.explode("linked").alias("linked_id"))

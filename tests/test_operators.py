@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from termloom.functions import text as T
 from termloom.functions.components import connected_components
 from termloom.operators import graph as G, learning as L, matching as M, relational as R, rules as U, tokens as K
+from termloom.plans import annotate as A
 from termloom.plans.annotate import Rules, Vocabulary, annotate
 from termloom.sources import readers
 
@@ -324,3 +325,52 @@ def test_written_tables_are_dropped(spark, monkeypatch):
     assert df.count() == 5 and shared.drop_staged(spark) == 1 and shared.drop_staged(spark) == 0
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def _linked(names, edges):
+    """Pairs of links by plain sets, handed down to all terms below."""
+    ok = [(s, t) for s, t, kind in names if s is not None and kind in ("TERM_NAME", "EXACT")]
+    out = set()
+    for b in {t for _, t, _ in names}:
+        above, todo = {b}, [b]
+        while todo:
+            c = todo.pop()
+            new = {p for x, p in edges if x == c} - above
+            above, todo = above | new, todo + sorted(new)
+        strings = {s for s, t in ok if t in above and t.startswith("B:")}
+        out |= {(b, t) for s, t in ok if s in strings and t.startswith("A:")}
+    return out
+
+
+@pytest.mark.parametrize("members", [1000, 2])
+def test_linked_tables_as_plain_sets(spark, monkeypatch, members):
+    """Terms of several strings, null strings, other kinds, rows twice, terms of a below those of b, cycles."""
+    monkeypatch.setattr(A, "MEMBERS", members)
+    rng = random.Random(3)
+    names = [(f"s{rng.randint(0, 12)}", f"{space}:{i}", rng.choice(["TERM_NAME", "EXACT", "RELATED"])) for space in "AB" for i in range(40) for _ in range(rng.randint(1, 3))]
+    names += [(None, "A:1", "EXACT"), (None, "B:1", "EXACT"), ("only here", "C:1", "EXACT"), *names[:5]]
+    edges = [(f"B:{i}", f"B:{rng.randint(0, i - 1)}") for i in range(1, 40) for _ in range(2)] + [("B:0", "B:17"), ("B:3", "B:3"), ("A:5", "B:20"), ("C:1", "B:2"), ("B:9", "X:1"), ("X:1", "B:4")]
+    got = A.link_tables(spark.createDataFrame(names, "s string, term_id string, target string"), spark.createDataFrame(edges, "child string, parent string"), "A", "B")
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) > 500
+    assert set(rows) == _linked(names, edges)
+
+
+def test_linked_pairs_are_never_shuffled(spark):
+    """Pairs grow with the square of the terms of one string: the last step makes them, and nothing sorts or hashes them after."""
+    names = spark.range(60).selectExpr("'one' as s", "concat(if(id % 2 = 0, 'A:', 'B:'), id) as term_id", "'EXACT' as target")
+    got = A.link_tables(names, spark.createDataFrame([("B:3", "B:1")], "child string, parent string"), "A", "B")
+    assert got.count() == 900
+    top = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert top[0].startswith("Generate explode(linked") and not any("Aggregate" in line for line in top[: next(k for k, line in enumerate(top) if "Join" in line)])
+
+
+def test_marks_handed_down(spark):
+    line = [(f"n{i}", f"n{i + 1}") for i in range(37)]
+    edges = spark.createDataFrame([*line, ("n37", "n30"), ("x", "n5"), ("n2", "n2")], "child string, parent string")
+    marks = spark.createDataFrame([("n37", "top"), ("n4", "low"), ("n4", "low"), ("alone", "top")], "term_id string, mark string")
+    want = {(r.term_id, m) for r in G.closure(edges, spark.createDataFrame([(f"n{i}",) for i in range(38)] + [("x",), ("alone",)], "term_id string")).collect() for t, m in (("n37", "top"), ("n4", "low"), ("alone", "top")) if r.ancestor == t}
+    got = [tuple(r) for r in G.handed_down(edges, marks).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    with pytest.raises(RuntimeError, match="chains"):
+        G.handed_down(edges, marks, rounds=2)

@@ -9,8 +9,9 @@ P(w | class) is smoothed like the base with one place for unseen words in each h
 distribution over token sequences with 'an unseen word of class b' as a symbol.
 
 Training is Baum-Welch: each pass, tasks run forward and backward over all training texts and the expected counts are
-added up by key across partitions; only the K x classes sums come to the driver. The first values come from a few passes
-over a sample of about ``WARM_TOKENS`` tokens, pieces of texts of all chunks by hash; full passes follow until the log
+added up by key across partitions; only the K x classes sums come to the driver. The first values come from all training
+texts, too: each is in one of up to ``STEPS`` slices by hash, and ``STEPS`` steps of stepwise Baum-Welch take the slices in
+turn, all equally often, each step blending its slice's counts into those before. Full passes follow until the log
 likelihood of all training texts rises by less than ``SETTLED`` of itself, ``PASSES`` at most. Scoring is the scaled
 forward recursion over whole texts. It is exact however long the text: texts of like length go through the recursion side
 by side, and long ones in stretches of time that hold about ``BLOCK_TOKENS`` tokens, so memory has a bound.
@@ -41,7 +42,8 @@ END = CLASSES - 1
 CHUNK_CHARS = 10_000_000
 #: Bits of a chunk's number within its partition, and of a word's within its chunk.
 CHUNK_BITS, WORD_BITS = 12, 24
-WARM_TOKENS, WARM_PIECE, WARM_PASSES = 1_000_000, 2048, 14
+#: Steps before the full passes (a power of two, as are the slices), tokens that a slice has at least if there are several, and the power of a step's number by which its weight falls.
+STEPS, SLICE_TOKENS, FORGET = 16, 250_000, 0.6
 PASSES, SETTLED = 4, 2e-3
 #: Tokens worked on at once.
 BLOCK_TOKENS = 100_000
@@ -117,6 +119,12 @@ def from_planes(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint16, n) + (np.frombuffer(raw, np.uint8, n, 2 * n).astype(np.int64) << 16)
 
 
+def slice_of(chunk: int, texts: int, slices: int) -> np.ndarray:
+    """The slice of each text of a chunk, by a hash of their numbers."""
+    x = (np.arange(texts, dtype=np.uint64) + (np.uint64(chunk) << np.uint64(24))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
+
+
 def suffix_class(word: str) -> int:
     return TOP + zlib.crc32(word[-3:].encode()) % HASHED
 
@@ -328,56 +336,56 @@ class HiddenMarkovScorer:
         return met.mapInArrow(run, schema)
 
     def _train(self) -> None:
-        seqs = self._warm_sample()
-        blocks = [[seqs[i] for i in at] for at in np.array_split(np.arange(len(seqs)), 1 + sum(map(len, seqs)) // BLOCK_TOKENS) if len(at)]
-        for _ in range(WARM_PASSES if blocks else 0):
-            self.hmm.take(*[sum(x) for x in zip(*(self.hmm.expected(block)[:3] for block in blocks))])
+        slices = 1
+        while slices < STEPS and self.n >= 2 * slices * SLICE_TOKENS:
+            slices *= 2
+        #: Texts counted by each step before the full passes.
+        self.started: list[int] = []
+        blend = 0
+        for step in range(STEPS if self.texts else 0):
+            sums, _ = self._sums(step % slices, slices)
+            self.started.append(round(sums[0].sum()))
+            if self.started[-1]:  # few texts can leave a slice empty
+                weight = 1 if np.isscalar(blend) else (step + 1) ** -FORGET
+                k = len(self.hmm.pi)
+                blend = blend * (1 - weight) + sums * (weight * self.n / sums[1 + k :].sum())
+                self.hmm.take(blend[0], blend[1 : 1 + k], blend[1 + k :])
         self.log_likelihood: list[float] = []
-        k = len(self.hmm.pi)
         while self.texts and len(self.log_likelihood) < PASSES:
-            got = self._counts().groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # states x classes
-            at, n = got.column("at").to_numpy(), got.column("n").to_numpy()
-            flat = np.zeros(k + k * k + CLASSES * k)
-            flat[at[at >= 0]] = n[at >= 0]
-            self.log_likelihood.append(float(n[at < 0].sum()))
-            self.hmm.take(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(CLASSES, k))
+            sums, log = self._sums()
+            k = len(self.hmm.pi)
+            self.log_likelihood.append(log)
+            self.hmm.take(sums[0], sums[1 : 1 + k], sums[1 + k :])
             if len(self.log_likelihood) > 1 and self.log_likelihood[-1] - self.log_likelihood[-2] < SETTLED * abs(self.log_likelihood[-2]):
                 break
 
-    def _warm_sample(self) -> list[np.ndarray]:
-        """Pieces of training texts by hash, ``WARM_TOKENS`` tokens in the mean, in the order of their length."""
-        rate = WARM_TOKENS / max(self.n, 1)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for chunk, held, lens, tokens in zip(*batch.columns):
-                    out = []
-                    flat = np.frombuffer(tokens.as_py(), np.uint16)
-                    for k, (end, n, h) in enumerate(zip(np.cumsum(lens.as_py()), lens.as_py(), held.as_py())):
-                        for lo in range(0, n + 1, WARM_PIECE) if not h else ():
-                            if zlib.crc32(f"{chunk.as_py()}/{k}/{lo}".encode()) < rate * 2**32:
-                                piece = flat[end - n + lo : min(end - n + lo + WARM_PIECE, end)]
-                                out.append((np.append(piece, np.uint16(END)) if lo + WARM_PIECE > n else piece).tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["x"])
-
-        rows = self.encoded.select("chunk", "held", "lens", "tokens").mapInArrow(run, "x binary").collect()
-        return [np.frombuffer(x, np.uint16) for x in sorted((bytes(r["x"]) for r in rows), key=lambda x: (len(x), x))]
-
-    def _counts(self) -> DataFrame:
-        """Expected counts ``(at, n)``, added up within each task; at -1 the log likelihood."""
+    def _sums(self, which: int = 0, slices: int = 1) -> tuple[np.ndarray, float]:
+        """Expected counts of first states (one row), moves and emissions (a row a class) over a slice of the training texts, and its log likelihood."""
+        k = len(self.hmm.pi)
+        got = self._counts(which, slices).groupBy("at").agg(*(F.sum(f"n{s}").alias(f"n{s}") for s in range(k))).toArrow()  # a row a class
+        at = got.column("at").to_numpy()
+        n = np.stack([got.column(f"n{s}").to_numpy() for s in range(k)], 1)
+        sums = np.zeros((1 + k + CLASSES, k))
+        sums[at[at >= 0]] = n[at >= 0]
+        return sums, float(n[at < 0, 0].sum())
+
+    def _counts(self, which: int, slices: int) -> DataFrame:
+        """Rows of :meth:`_sums`, added up within each task; at -1 the log likelihood."""
         hmm = self.hmm
+        k = len(hmm.pi)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, log, long, size = 0, 0.0, [], 0
 
             def add(seqs: list[np.ndarray]) -> None:
                 nonlocal total, log
-                *parts, more = hmm.expected(seqs)
-                total, log = total + np.concatenate([x.ravel() for x in parts]), log + more
+                first, moves, emits, more = hmm.expected(seqs)
+                total, log = total + np.concatenate([first[None], moves, emits]), log + more
 
             for batch in batches:
-                for held, lens, tokens in zip(*batch.columns):
-                    for _, seqs in _sequences(tokens.as_py(), lens.as_py(), [not h for h in held.as_py()]):
+                for chunk, held, lens, tokens in zip(*batch.columns):
+                    keep = ~np.array(held.as_py(), bool) & (slice_of(chunk.as_py(), len(held), slices) == which)
+                    for _, seqs in _sequences(tokens.as_py(), lens.as_py(), keep) if keep.any() else ():
                         if len(seqs[0]) <= LONG + 1:
                             add(seqs)
                             continue
@@ -388,10 +396,14 @@ class HiddenMarkovScorer:
             if long:
                 add(long)
             if not np.isscalar(total):
-                at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at], pa.int64()), pa.array(np.r_[log, total[at]])], ["at", "n"])
-
-        return self.encoded.select("held", "lens", "tokens").mapInArrow(run, "at long, n double")
+                at = np.flatnonzero(total.any(1))
+                rows = np.concatenate([np.full((1, k), log), total[at]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at], pa.int64()), *(pa.array(rows[:, s]) for s in range(k))], ["at", *(f"n{s}" for s in range(k))])
+
+        rows = self.encoded.select("chunk", "held", "lens", "tokens")
+        if slices > 1:  # a task has little to do and sends as much as ever
+            rows = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
+        return rows.mapInArrow(run, ", ".join(["at long", *(f"n{s} double" for s in range(k))]))
 
     def scores(self) -> DataFrame:
         """``(_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row.

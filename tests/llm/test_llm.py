@@ -323,6 +323,30 @@ def test_lm_scores_as_plain_loops(spark, monkeypatch, kind):
         assert abs(got[i] - log) < 1e-6 * max(1, abs(log)), i
 
 
+@pytest.mark.parametrize("least, slices", [(100, 16), (10**9, 1)])
+def test_lm_start_values_come_from_all_texts(spark, monkeypatch, least, slices):
+    """Before the full passes each training text counts equally often, in one slice; slices add up to all texts."""
+    monkeypatch.setattr(hmm_lm, "SLICE_TOKENS", least)
+    monkeypatch.setattr(hmm_lm, "PASSES", 0)
+    monkeypatch.setattr(hmm_lm, "CHUNK_CHARS", 60_000)
+    d = table(spark, DATA, "documents")
+    scorer = hmm_lm.HiddenMarkovScorer(d)
+    texts = sum(zlib.crc32(str(r.doc_id).encode()) % 5 != 1 for r in d.select("doc_id").collect())
+    assert len(scorer.started) == hmm_lm.STEPS and sum(scorer.started) == texts * hmm_lm.STEPS // slices
+    whole, log = scorer._sums()
+    parts = [scorer._sums(k, slices) for k in range(slices)]
+    assert np.allclose(sum(p[0] for p in parts), whole) and abs(sum(p[1] for p in parts) - log) < 1e-6 * abs(log)
+    assert round(whole[0].sum()) == texts and round(whole[1 + hmm_lm.STATES :].sum()) == scorer.n
+
+
+def test_lm_slices_are_even():
+    for step in (1, 2, 7, 8):  # orders with a period, too
+        for chunk in (0, 3, 5 << hmm_lm.CHUNK_BITS):
+            sizes = np.bincount(hmm_lm.slice_of(chunk, 32_000, 16)[::step], minlength=16) * step / 2000
+            assert 0.9 < sizes.min() and sizes.max() < 1.1
+    assert set(hmm_lm.slice_of(7, 50, 1)) == {0}
+
+
 def test_lm_number_bounds(spark, monkeypatch):
     monkeypatch.setattr(hmm_lm, "WORD_BITS", 2)
     with pytest.raises(Exception, match="more partitions"):

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from termloom.functions import text as T
-from termloom.functions.shared import staged
+from termloom.functions.shared import shuffle_width, staged
 from termloom.operators import graph as G, matching as M, relational as R, rules as U, tokens as K
 
 PAIR = ["sample_id", "kv_key", "kv_value"]
@@ -315,25 +315,42 @@ def with_ancestors(mapped: DataFrame, edges: DataFrame) -> DataFrame:
     return mapped.join(up, "term_id").groupBy("sample_id").agg(F.sort_array(F.collect_set("ancestor")).alias("terms"))
 
 
-#: Ids of a class that go side by side in one row, in the mean.
-MEMBERS = 1000
+#: Linked ids of a class that go side by side in one row, and terms that do, in the mean.
+MEMBERS, TERMS = 256, 1000
+#: Rows of either side, at most, that meet under one key of the last join; pairs of a task of it, in the mean.
+SIDE, PAIRS = 8, 32_000_000
 
 
 def link_tables(names: DataFrame, edges: DataFrame, a_space: str, b_space: str) -> DataFrame:
     """``(term_id, linked_id)`` between two id spaces by equal strings, handed down to all terms below.
 
     There are as many rows as pairs, which grow with the square of the terms that share a string. So strings are handed
-    down instead of links, terms of a with the same strings are a class, and the last join alone writes out pairs: a row
-    for each ``MEMBERS`` of them is shuffled, and none is there twice, as each id is in one class.
+    down instead of links, terms of a with the same strings are a class, and the last join alone writes out pairs: rows
+    of about ``MEMBERS`` linked ids meet rows of about ``TERMS`` terms, and no pair is there twice, as each id is in one
+    class. Written as Parquet, pairs in this order take few bytes: a task has few ids of either side, so dictionaries
+    hold, a term comes in a run, and the linked ids come round again and again after a whole number of bytes, as their
+    rows have multiples of eight ids, with those left over in rows of their own.
     """
     of = lambda space, c: names.where(F.startswith("term_id", F.lit(space + ":")) & F.col("target").isin("TERM_NAME", "EXACT")).select("s", F.col("term_id").alias(c)).where("s is not null")
     a, b = of(a_space, "linked_id"), of(b_space, "term_id")
     sets = staged(a.join(b.select("s"), "s", "left_semi").groupBy("linked_id").agg(F.sort_array(F.collect_set("s")).alias("strings")), "string-sets")
-    classes = staged(sets.groupBy("strings").agg(F.min("linked_id").alias("class"), F.expr(f"(count(*) + {MEMBERS - 1}) div {MEMBERS}").alias("chunks")), "classes")
-    members = sets.join(classes, "strings").groupBy("class", F.expr("pmod(xxhash64(linked_id), chunks)").alias("chunk")).agg(F.collect_list("linked_id").alias("linked"))
-    by_string = classes.select(F.explode("strings").alias("mark"), "class", "chunks")
+    classes = staged(sets.groupBy("strings").agg(F.min("linked_id").alias("class"), F.count("*").alias("n_linked")), "classes")
+    by_string = classes.select(F.explode("strings").alias("mark"), "class")
     own = b.join(by_string.select(F.col("mark").alias("s")), "s", "left_semi").select("term_id", F.col("s").alias("mark"))
     below = G.handed_down(edges, own).join(names.select("term_id"), "term_id", "left_semi")
-    asked = below.join(by_string, "mark").select("term_id", "class", "chunks").distinct()
-    asked = asked.select("term_id", "class", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"))
-    return asked.join(members, ["class", "chunk"]).select("term_id", F.explode("linked").alias("linked_id"))
+    asked = staged(below.join(by_string, "mark").select("term_id", "class").distinct(), "asked")
+    sizes = classes.join(asked.groupBy("class").agg(F.count("*").alias("n_terms")), "class")
+    lists, groups = "(n_{0} + {1} - 1) div {1}".format, "(({0} - 1) div {1}) + 1".format
+    sizes = sizes.select("strings", "class", F.expr("n_linked * n_terms").alias("pairs"), F.expr(lists("linked", MEMBERS)).alias("chunks"), F.expr(lists("terms", TERMS)).alias("blocks"))
+    sizes = staged(sizes.withColumns({"a_groups": F.expr(groups("chunks", SIDE)), "b_groups": F.expr(groups("blocks", SIDE))}), "sizes")
+    key, pairs = ["class", "a_group", "b_group"], sizes.agg(F.sum("pairs")).first()[0] or 0
+    each = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1)"))
+    members = sets.join(sizes, "strings").groupBy("class", "b_groups", F.expr("pmod(xxhash64(linked_id), chunks)").alias("chunk")).agg(F.collect_list("linked_id").alias("l"))
+    members = members.withColumn("whole", F.expr("size(l) - size(l) % 8")).withColumn("linked", F.explode(F.expr("filter(array(slice(l, 1, whole), slice(l, whole + 1, 8)), x -> size(x) > 0)")))
+    members = members.select("class", F.expr(f"chunk div {SIDE}").alias("a_group"), each("b_groups").alias("b_group"), "linked")
+    terms = asked.join(sizes, "class").groupBy("class", "a_groups", F.expr("pmod(xxhash64(term_id), blocks)").alias("block")).agg(F.collect_list("term_id").alias("terms"))
+    terms = terms.select("class", each("a_groups").alias("a_group"), F.expr(f"block div {SIDE}").alias("b_group"), "terms")
+    # By bytes these tables are small, so Spark would join them in a few tasks.
+    n = max(-(-pairs // PAIRS), min(shuffle_width(names.sparkSession), -(-pairs // 1_000_000)), 1)
+    met = terms.repartition(n, *key).join(members.repartition(n, *key), key)
+    return met.select(F.explode("terms").alias("term_id"), "linked").select("term_id", F.explode("linked").alias("linked_id"))

@@ -365,6 +365,14 @@ def test_linked_pairs_are_never_shuffled(spark):
     assert top[0].startswith("Generate explode(linked") and not any("Aggregate" in line for line in top[: next(k for k, line in enumerate(top) if "Join" in line)])
 
 
+def test_linked_pairs_take_few_bytes(spark, tmp_path):
+    """Written as Parquet, whose dictionaries and runs hold: an eighth of a byte a pair, over half of one if the lists' ends fall between bytes."""
+    names = spark.range(2003).selectExpr("'one' as s", "concat(if(id < 1003, 'A:', 'B:'), id) as term_id", "'EXACT' as target")
+    A.link_tables(names, spark.createDataFrame([("B:1004", "B:1005")], "child string, parent string"), "A", "B").write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).distinct().count() == 1003 * 1000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.25 * 1003 * 1000
+
+
 def test_marks_handed_down(spark):
     line = [(f"n{i}", f"n{i + 1}") for i in range(37)]
     edges = spark.createDataFrame([*line, ("n37", "n30"), ("x", "n5"), ("n2", "n2")], "child string, parent string")

@@ -352,5 +352,6 @@ def link_tables(names: DataFrame, edges: DataFrame, a_space: str, b_space: str)
     terms = terms.select("class", each("a_groups").alias("a_group"), F.expr(f"block div {SIDE}").alias("b_group"), "terms")
     # By bytes these tables are small, so Spark would join them in a few tasks.
     n = max(-(-pairs // PAIRS), min(shuffle_width(names.sparkSession), -(-pairs // 1_000_000)), 1)
-    met = terms.repartition(n, *key).join(members.repartition(n, *key), key)
-    return met.select(F.explode("terms").alias("term_id"), "linked").select("term_id", F.explode("linked").alias("linked_id"))
+    # Generated code holds all that comes of one row; coalesce, to as many partitions, parts the steps, so that this is one list.
+    met = terms.repartition(n, *key).join(members.repartition(n, *key), key).coalesce(n)
+    return met.select(F.explode("terms").alias("term_id"), "linked").coalesce(n).select("term_id", F.explode("linked").alias("linked_id"))
